@@ -326,15 +326,27 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests(path), SCHEMA)
 
 
-def token_ids(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """``key`` and the ids as an array."""
+def encoded(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    """``key``, the ids as an array, their number and digest, and the digest of the text decoded from them."""
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
         for b in batches:
-            ids = [np.frombuffer(b"".join(enc.encode(t.as_py() or "")), "<u4").tolist() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(ids, pa.list_(pa.int64()))], [key, "ids"])
-
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, ids array<long>")
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                raw = [b"".join(enc.encode(t.as_py() or "")) for t in part.column("text")]
+                ids = [np.frombuffer(x, "<u4") for x in raw]
+                back = []
+                for x in ids:
+                    dec = Decoder(path)
+                    back.append(hashlib.sha256((dec.feed(x.tolist()) + dec.finish()).encode()).hexdigest())
+                sizes = np.cumsum([0, *map(len, ids)])
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(key), lists, pa.array(np.diff(sizes), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array(back)],
+                    [key, "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import bpe, decontam, pii, quality, warc
+from causeway.llm import bpe, decontam, ngram_join, pii, quality, warc
 from causeway.runtime import table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -17,6 +17,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), ngram_join.Similarity(4, 85, 100))
+
+
 def op3_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -30,6 +34,12 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -47,11 +57,13 @@ FROM p JOIN f USING (h)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_suffix_decontamination": op3_suffix_decontamination,
         "op5_bpe_codec": op5_bpe_codec,
         "op6_pii_boosting": op6_pii_boosting,
         "op8_quality_rules": op8_quality_rules,
         "op9_warc_transactions": op9_warc_transactions,
+        "pipeline": pipeline,
     }
 
 
