@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import bpe, decontam, ngram_join, pii, quality, warc
+from causeway.llm import bpe, decontam, lm, ngram_join, pii, quality, warc
 from causeway.runtime import table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -34,6 +34,10 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii_boosting": op6_pii_boosting,
         "op8_quality_rules": op8_quality_rules,
         "op9_warc_transactions": op9_warc_transactions,
+        "op10_log_bilinear": op10_log_bilinear,
         "pipeline": pipeline,
     }
 
