@@ -5,18 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from causeway.llm import bpe, decontam, lm, ngram_join, pii, quality, warc
-from causeway.runtime import table
+from causeway.llm import bpe, cotraining, decontam, lm, ngram_join, pii, quality, rollups, warc, wrapper
+from causeway.runtime import scratch, table
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op4_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted in one batch, under two tokenizer versions; the batch is then sent again."""
+    rows = rollups.counted(table(spark, sf_dir, "documents"), {"words-1": None, "byte_bpe_50k-1": f"{TOKENIZERS}/byte_bpe_50k.json"})
+    changes = rows.withColumns({"change": F.lit("insert"), "old_tokens": F.lit(None).cast("long")})
+    ledger = rollups.Ledger(spark, scratch(spark, "ledger"))
+    for _ in range(2):
+        ledger.commit("load", changes)
+    return ledger.totals()
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op1_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"), ngram_join.Similarity(4, 85, 100))
 
@@ -61,8 +80,11 @@ FROM p JOIN f USING (h)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_wrapper_induction": op1_wrapper_induction,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_suffix_decontamination": op3_suffix_decontamination,
+        "op4_cotraining_quality": op4_cotraining_quality,
+        "op7_token_rollups": op7_token_rollups,
         "op5_bpe_codec": op5_bpe_codec,
         "op6_pii_boosting": op6_pii_boosting,
         "op8_quality_rules": op8_quality_rules,
