@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.plans.bindings import risk
+from causeway.plans.bindings import risk, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (risk,)
+MODULES = (risk, scalars)
 
 
 def queries() -> dict[str, Query]:
