@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.plans.bindings import risk, scalars
+from causeway.plans.bindings import graphs, risk, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (risk, scalars)
+MODULES = (risk, scalars, graphs)
 
 
 def queries() -> dict[str, Query]:
