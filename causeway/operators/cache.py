@@ -55,7 +55,7 @@ def sweep(entries: DataFrame, shape: tuple[int, int], today: int, max_age: int |
         kept = kept.where(F.lit(today) - F.col("_day") <= max_age)
     if max_bytes is not None:
         days = kept.groupBy("_day").agg(F.sum("bytes").alias("_sum"))
-        newer = days.alias("a").join(days.alias("b"), F.col("b._day") > F.col("a._day"), "left").groupBy(F.col("a._day").alias("_day")).agg(F.coalesce(F.sum("b._sum"), F.lit(0)).alias("_newer"))
+        newer = days.select("_day", F.coalesce(F.sum("_sum").over(W.orderBy(F.desc("_day")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_newer"))
         inner = W.partitionBy("_day").orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
         kept = kept.join(newer, "_day").withColumn("_run", F.col("_newer") + F.sum("bytes").over(inner)).where(F.col("_run") <= max_bytes).drop("_newer", "_run")
     return kept.drop("_day")

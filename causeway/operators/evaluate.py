@@ -39,11 +39,13 @@ def nearest_rank(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
     Numbers of values are summed first; places are sought among distinct values.
     """
+    if not by:
+        return nearest_rank(rows.withColumn("_all_rows", F.lit(0)), ["_all_rows"], value).drop("_all_rows")
     n = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     upto = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     ranked = n.withColumn("_upto", F.sum("_n").over(upto))
     totals = n.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    both = ranked.join(totals, by) if by else ranked.crossJoin(totals)
+    both = ranked.join(totals, by)
     half, late = F.floor(F.col("_all") / 2), F.least(F.col("_all") - 1, F.floor(F.col("_all") * 0.95))
     return both.groupBy(*by).agg(F.min(F.when(F.col("_upto") > half, F.col(value))).alias("median"), F.min(F.when(F.col("_upto") > late, F.col(value))).alias("p95"))
 
