@@ -43,9 +43,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of a batch that goes to a Python worker, where the session sets none: long texts make the usual
+#: 10,000 rows large.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on Python workers, once for each context."""
     sc = spark.sparkContext
+    for key, value in BATCH.items():
+        if not sc.getConf().contains(key):
+            spark.conf.set(key, value)
     if getattr(sc, "_causeway_shipped", False):
         return
     root = Path(__file__).resolve().parent
