@@ -38,7 +38,8 @@ from causeway.runtime import ship
 
 #: The byte-level pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TABLE_SIZE = 600_000
+#: Entries of each of the two generations of the table of pieces, and of the table of fitting neighbours.
+TABLE_SIZE, FITS_SIZE = 120_000, 300_000
 CHUNK = 1 << 16
 
 
@@ -128,7 +129,7 @@ class Vocabulary:
         """
         known = self._fits.get(a << 32 | b)
         if known is None:
-            if len(self._fits) >= 4 * TABLE_SIZE:
+            if len(self._fits) >= FITS_SIZE:
                 self._fits.clear()
             known = self._fits[a << 32 | b] = self._fit(a, b)
         return known
@@ -238,12 +239,15 @@ class Encoder:
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.v.special, key=len, reverse=True)) + ")") if self.v.special else None
         self.table: dict[str, bytes] = {}
-        self.counts: dict[str, int] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece(self, s: str) -> bytes:
         """The ids of a piece, as little-endian unsigned 32-bit integers."""
         got = self.table.get(s)
         if got is None:
+            got = self.older.get(s)
+            if got is not None:
+                return self._held(s, got)
             raw = s.encode("utf-8", "replace")
             whole = self.v.id_of.get(raw)
             if whole is not None and whole in self.v.proper:
@@ -253,9 +257,15 @@ class Encoder:
                 ids = t.feed(raw) + t.finish()
             got = np.array(ids, "<u4").tobytes()
             if len(s) <= 64:
-                if len(self.table) >= TABLE_SIZE:
-                    self.table.clear()
-                self.table[s] = got
+                self._held(s, got)
+        return got
+
+    def _held(self, s: str, got: bytes) -> bytes:
+        """Recent pieces stay: a full table becomes the older one, whose entries come back when met."""
+        if len(self.table) >= TABLE_SIZE:
+            self.older = dict(self.table)
+            self.table.clear()
+        self.table[s] = got
         return got
 
     def _plain(self, text: str) -> Iterator[bytes]:

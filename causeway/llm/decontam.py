@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from causeway.runtime import ship
 
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 32 << 20
 
 #: Digits, letters in lower case and bytes of wider characters stay; the rest is blank.
