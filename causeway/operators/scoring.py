@@ -45,8 +45,8 @@ def package_risk(findings: DataFrame, packages: DataFrame, key: str = "dist_id")
         F.count(F.lit(1)).alias("findings"),
     )
     raw = clamp(F.col("top") + F.lit(TECHNIQUE_BONUS) * (F.col("objectives") - 1))
-    risk = F.when(F.col("any_data") == 1, raw).otherwise(F.least(raw, F.lit(CONTROL_CEILING)))
-    return packages.join(sums, key, "left").select(key, F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce(risk, F.lit(0.0)).alias("risk"))
+    risk = F.when(F.col("top").isNull(), 0.0).when(F.col("any_data") == 1, raw).otherwise(F.least(raw, F.lit(CONTROL_CEILING)))
+    return packages.join(sums, key, "left").select(key, F.coalesce("findings", F.lit(0)).alias("findings"), risk.alias("risk"))
 
 
 def verdict(risk: Column) -> Column:

@@ -74,7 +74,7 @@ WITH s AS ({SCORED_SQL}),
 p AS (SELECT c_custkey AS dist_id FROM customer UNION SELECT dist_id FROM s),
 g AS (SELECT dist_id, max(score) AS top, count(DISTINCT objective) AS objectives, bool_or(kind = 'data') AS any_data, count(*) AS n FROM s GROUP BY dist_id),
 r AS (SELECT dist_id, n, greatest(0.0::DOUBLE, least(1.0::DOUBLE, top + 0.05::DOUBLE * (objectives - 1))) AS raw, any_data FROM g)
-SELECT p.dist_id, coalesce(n, 0) AS findings, coalesce(CASE WHEN any_data THEN raw ELSE least(raw, 0.70::DOUBLE - 0.05::DOUBLE) END, 0.0::DOUBLE) AS risk
+SELECT p.dist_id, coalesce(n, 0) AS findings, CASE WHEN n IS NULL THEN 0.0::DOUBLE WHEN any_data THEN raw ELSE least(raw, 0.70::DOUBLE - 0.05::DOUBLE) END AS risk
 FROM p LEFT JOIN r ON p.dist_id = r.dist_id
 """
 

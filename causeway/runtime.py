@@ -65,5 +65,19 @@ def ship(spark: SparkSession) -> None:
     sc._causeway_shipped = True
 
 
+_held: dict = {"name": None, "clear": None}
+
+
+def serve(name: str, clear=None) -> None:
+    """On a Python worker: what follows belongs to ``name``; tables that another operator left in the worker go.
+
+    Workers outlive stages, and so would the tables of every operator that a job uses.
+    """
+    if _held["name"] != name:
+        if _held["clear"] is not None:
+            _held["clear"]()
+        _held.update(name=name, clear=clear)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
