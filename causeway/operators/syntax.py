@@ -186,7 +186,8 @@ def _fold(node: ast.AST, level: int) -> tuple[bytes, int] | None:
 
 
 def _fold_call(node: ast.Call, level: int) -> tuple[bytes, int] | None:
-    name, args = ast.unparse(node.func) if isinstance(node.func, (ast.Name, ast.Attribute)) else "", node.args
+    text = ast.unparse(node.func) if isinstance(node.func, (ast.Name, ast.Attribute)) else ""
+    name, args = text if re.fullmatch(r"[\w.]+", text) else "", node.args
     if name == "chr" and len(args) == 1 and isinstance(args[0], ast.Constant) and isinstance(args[0].value, int):
         v = args[0].value
         return (chr(v).encode("utf-8", "surrogatepass"), 1) if 0 <= v < 0x110000 else None

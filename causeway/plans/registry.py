@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.plans.bindings import graphs, relations, risk, scalars
+from causeway.plans.bindings import graphs, packages, relations, risk, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (risk, scalars, graphs, relations)
+MODULES = (risk, scalars, graphs, relations, packages)
 
 
 def queries() -> dict[str, Query]:
