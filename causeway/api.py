@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from causeway import __version__
 from causeway.operators import catalogue, deps
+from causeway.operators.cache import Store, default_location
 from causeway.operators.display import exit_code, text_report
-from causeway.plans.scan import MODES, Options, build_graphs, evaluate, reports
+from causeway.plans.scan import MODES, SCHEMA_VERSION, Options, build_graphs, evaluate, reports
 from causeway.runtime import stored
 from causeway.sources import archives
 
@@ -32,6 +33,22 @@ def scan_archives(spark: SparkSession, path: str, options: Options = Options())
     return out.join(identity, "dist_id", "left")
 
 
+def scan_cached(spark: SparkSession, path: str, store: Store, day: int) -> DataFrame:
+    """C-02, C-04, O-05: dist_id, cached, report_json. Digests are looked up first; only what is not known is unpacked and analysed."""
+    shape = (catalogue.RULESET_VERSION, SCHEMA_VERSION)
+    files = archives.listed(spark, path).withColumn("sha256", F.sha2("content", 256))
+    here = stored(files.select("path", "sha256"), "digests").withColumns({"ruleset": F.lit(shape[0]), "schema": F.lit(shape[1])})
+    hits = stored(here.join(store.entries().select("sha256", "ruleset", "schema", "report_json"), ["sha256", "ruleset", "schema"]), "hits")
+    fresh = stored(archives.unpacked(files.join(hits.select("sha256").distinct(), "sha256", "left_anti")), "dists")
+    graphs = _graphs(fresh)
+    out = reports(graphs, stored(evaluate(graphs), "findings"), skipped=archives.skipped_of(fresh))
+    rows = out.select("dist_id", F.to_json(F.struct(*out.columns), {"ignoreNullFields": "false"}).alias("report_json"))
+    made = stored(rows.join(fresh.select("dist_id", "sha256"), "dist_id").select("dist_id", "sha256", F.lit(shape[0]).alias("ruleset"), F.lit(shape[1]).alias("schema"), "report_json"), "reports")
+    store.add(made, day)
+    store.touch(hits, day)
+    return made.select("dist_id", F.lit(False).alias("cached"), "report_json").union(hits.select(F.substring_index("path", "/", -1), F.lit(True), "report_json"))
+
+
 def scan_directory(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:
     """The report for a source tree in place; it has no identity."""
     graphs = build_graphs(archives.directory(spark, path).where("text is not null").select("dist_id", "path", "text"))
@@ -96,6 +113,9 @@ def cli_main(argv: list[str] | None = None, spark: SparkSession | None = None) -
     p = commands.add_parser("project")
     p.add_argument("path")
     commands.add_parser("rules")
+    c = commands.add_parser("cache")
+    c.add_argument("what", choices=("stats", "clear"))
+    c.add_argument("--path", default=default_location())
     commands.add_parser("version")
     try:
         args = parser.parse_args(argv)
@@ -110,6 +130,13 @@ def cli_main(argv: list[str] | None = None, spark: SparkSession | None = None) -
             for r in rules(spark).orderBy("ord").collect():
                 print(f"{r['rule']}  {r['severity']:<8}  {r['title']}")
             return 0
+        if args.command == "cache":
+            store = Store(spark, args.path)
+            if args.what == "clear":
+                store.clear()
+            else:
+                print(json.dumps(store.stats((catalogue.RULESET_VERSION, SCHEMA_VERSION))))
+            return 0
         if args.command == "project":
             found = [r.asDict() for r in project(spark, args.path).collect()]
             print(json.dumps(found, indent=2))

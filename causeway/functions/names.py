@@ -62,3 +62,9 @@ def module_dotted(path: Column, top_level: Column) -> Column:
     parts = F.filter(F.split(stem, "/"), lambda p: p != "")
     contained = (F.size(parts) >= 2) & ~F.array_contains(top_level, F.get(parts, F.lit(0))) & F.array_contains(top_level, F.get(parts, F.lit(1)))
     return F.array_join(F.when(contained, F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts), ".")
+
+
+def package_ref(ref: Column) -> Column:
+    """IO-21: struct of name and version of ``name==version``, nothing else; null for any other text."""
+    name, version = F.regexp_extract(ref, "^([^=]+)==([^=]+)$", 1), F.regexp_extract(ref, "^([^=]+)==([^=]+)$", 2)
+    return F.when((version != "") & package_name(name).isNotNull(), F.struct(package_name(name).alias("name"), version.alias("version")))

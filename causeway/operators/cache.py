@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -65,3 +67,62 @@ def stats(entries: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """C-06."""
     stale = ~((F.col("ruleset") == shape[0]) & (F.col("schema") == shape[1]))
     return entries.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(stale.cast("long")), F.lit(0)).alias("stale"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def default_location(env: dict[str, str] | None = None) -> str | None:
+    """IO-29: where the cache lies if nothing is said; none if no variable names a home."""
+    env = os.environ if env is None else env
+    for name, below in (("XDG_CACHE_HOME", ""), ("LOCALAPPDATA", ""), ("HOME", ".cache")):
+        if env.get(name):
+            return os.path.join(env[name], below, "causeway", "results") if below else os.path.join(env[name], "causeway", "results")
+    return None
+
+
+ENTRY = "sha256 string, ruleset int, schema int, report_json string, day int"
+
+
+class Store:
+    """C-07, C-08: the cache in a folder; each run appends, a sweep rewrites. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._to = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._to(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _rows(self, name: str) -> DataFrame:
+        there = self._fs.exists(self._to(f"{self.path}/{name}"))
+        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], ENTRY)
+
+    def entries(self) -> DataFrame:
+        """Keys with report, last day of use and size."""
+        used = self._rows("used").groupBy(*KEY).agg(F.max("day").alias("last_used"))
+        return self._rows("scans").drop("day").join(used, KEY, "left").withColumn("bytes", F.octet_length("report_json").cast("long"))
+
+    def add(self, new: DataFrame, day: int) -> None:
+        """C-03, and O-12: one append of reports, one of days of use."""
+        fresh = put(new, self._rows("scans")).withColumn("day", F.lit(None).cast("int"))
+        fresh.write.mode("append").parquet(f"{self.path}/scans")
+        self.touch(new, day)
+
+    def touch(self, keys: DataFrame, day: int) -> None:
+        keys.select(*KEY).distinct().select(*KEY, F.lit(None).cast("string").alias("report_json"), F.lit(day).alias("day")).write.mode("append").parquet(f"{self.path}/used")
+
+    def sweep(self, shape: tuple[int, int], today: int, max_age: int | None, max_bytes: int | None) -> int:
+        """C-05 in place; the number of entries that went. Nothing is rewritten if none did."""
+        every = self.entries()
+        keep = sweep(every, shape, today, max_age, max_bytes)
+        gone = every.count() - keep.count()
+        if gone:
+            keep.select(*KEY, "report_json", F.col("last_used").alias("day")).write.mode("overwrite").parquet(f"{self.path}/next")
+            self._fs.delete(self._to(f"{self.path}/scans"), True)
+            self._fs.rename(self._to(f"{self.path}/next"), self._to(f"{self.path}/scans"))
+        return gone
+
+    def stats(self, shape: tuple[int, int]) -> dict:
+        """C-06; makes no file."""
+        return stats(self.entries(), shape).first().asDict()
+
+    def clear(self) -> None:
+        """C-08: a missing cache is no error."""
+        self._fs.delete(self._to(self.path), True)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 import re
 import tarfile
 import zlib
@@ -207,9 +208,14 @@ def read_sdist(filename: str, data: bytes, limits: Limits = Limits()) -> dict:
     return out
 
 
-def sdists(spark: SparkSession, directory: str, limits: Limits = Limits()) -> DataFrame:
-    """IO-11, IO-22: a row for each file directly in ``directory``, in any file system that Spark reads."""
-    ship(spark)
+def listed(spark: SparkSession, directory: str | list[str]) -> DataFrame:
+    """IO-22: path and content of the files directly in a directory (or of the files named)."""
+    return spark.read.format("binaryFile").load(directory).select("path", "content")
+
+
+def unpacked(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """IO-11: a row for each file (path, content)."""
+    ship(files.sparkSession)
     schema = T._parse_datatype_string(DIST)
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -220,20 +226,48 @@ def sdists(spark: SparkSession, directory: str, limits: Limits = Limits()) -> Da
             for path, data in zip(b.column("path").to_pylist(), b.column("content")):
                 yield pa.RecordBatch.from_pylist([read_sdist(path.rsplit("/", 1)[-1], data.as_py(), limits)], arrow)
 
-    return spark.read.format("binaryFile").load(directory).select("path", "content").mapInArrow(run, schema)
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def sdists(spark: SparkSession, directory: str | list[str], limits: Limits = Limits()) -> DataFrame:
+    return unpacked(listed(spark, directory), limits)
 
 
 def directory(spark: SparkSession, path: str, dist_id: str | None = None, limits: Limits = Limits()) -> DataFrame:
-    """IO-12: the sources of a directory in place: dist_id, path, kind, size_bytes, text. Links are not followed by the listing; no identity."""
-    base = path.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    root = spark._jvm.org.apache.hadoop.fs.Path(base)
-    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
-    rel = F.expr(f"substring(path, locate('{root}/', path) + {len(root) + 1})")
-    kept = files.select(F.lit(dist_id or base).alias("dist_id"), rel.alias("path"), F.col("length").alias("size_bytes"), "content").withColumn("kind", paths.classify(F.col("path")))
-    too_large = F.raise_error(F.concat(F.lit("larger than the limit: "), F.col("path")))
-    text = F.when(F.col("size_bytes") > limits.file_bytes, too_large).otherwise(F.col("content").cast("string"))
-    return kept.select("dist_id", "path", "kind", "size_bytes", F.when(F.col("kind").isNotNull(), text).alias("text"))
+    """IO-12: the sources of one directory in place: dist_id, path, kind, size_bytes, text. Links are not followed; no identity.
+
+    Spark's own listing hides names that begin with an underscore, as ``__init__.py`` does, so the driver lists and reads;
+    the limits bound what it may hold. Exceeding them is an error.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.getFileStatus(root).getPath().toUri().getPath() + "/"
+    todo, rows, total = [root], [], 0
+    while todo:
+        for s in fs.listStatus(todo.pop()):
+            rel = s.getPath().toUri().getPath().removeprefix(base)
+            if s.isSymlink() or _is_link(s.getPath()):
+                continue
+            if s.isDirectory():
+                todo.append(s.getPath())
+                continue
+            kind, size, text = classify(rel), s.getLen(), None
+            total += size
+            if size > limits.file_bytes or total > limits.total_bytes or len(rows) >= limits.entries:
+                raise ValueError(f"beyond the limits of a scan: {rel}")
+            if kind is not None:
+                stream = fs.open(s.getPath())
+                text = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+                stream.close()
+            rows.append((dist_id or path, rel, kind, size, text))
+    return spark.createDataFrame(sorted(rows), "dist_id string, path string, kind string, size_bytes long, text string")
+
+
+def _is_link(path) -> bool:
+    """Local file systems report what a link points to."""
+    uri = path.toUri()
+    return uri.getScheme() in (None, "file") and os.path.islink(uri.getPath())
 
 
 def sources_of(dists: DataFrame) -> DataFrame:

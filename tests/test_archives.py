@@ -102,3 +102,22 @@ def test_directory_in_place(spark, tmp_path):
     r = api.scan(spark, str(tmp_path))
     assert r["distribution"] is None and r["skipped"] is None
     assert not (tmp_path / "marker").exists()  # nothing scanned ever runs
+
+
+def test_cache(spark, tmp_path, capsys):
+    from causeway.operators.cache import Store, default_location
+
+    box = tmp_path / "in"
+    box.mkdir()
+    (box / "evil-1.tar.gz").write_bytes(build(PAIRS["EXF-001"]["env_exfil_setup"][0], "evil-1"))
+    (box / "plain-1.tar.gz").write_bytes(build({"setup.py": ""}, "plain-1"))
+    store = Store(spark, str(tmp_path / "cache"))
+    assert store.stats((6, 2)) == {"entries": 0, "stale": 0, "bytes": 0}
+    runs = [sorted((r["dist_id"], r["cached"], r["report_json"]) for r in api.scan_cached(spark, str(box), store, day).collect()) for day in (100, 101)]
+    assert [r[:2] for r in runs[0]] == [("evil-1.tar.gz", False), ("plain-1.tar.gz", False)]
+    assert [(r[0], r[2]) for r in runs[1]] == [(r[0], r[2]) for r in runs[0]] and all(r[1] for r in runs[1])
+    assert store.stats((6, 2))["entries"] == 2 and store.stats((7, 2))["stale"] == 2
+    assert store.sweep((6, 2), 103, 5, None) == 0 and store.sweep((6, 2), 110, 5, None) == 2 and store.stats((6, 2))["entries"] == 0
+    assert api.cli_main(["cache", "clear", "--path", str(tmp_path / "cache")], spark) == 0
+    assert api.cli_main(["cache", "stats", "--path", str(tmp_path / "cache")], spark) == 0 and '"entries": 0' in capsys.readouterr().out
+    assert default_location({"HOME": "/h"}) == "/h/.cache/causeway/results" and default_location({}) is None
