@@ -18,7 +18,6 @@ each give a row; an empty table gives an empty result. Extra columns are not rea
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,9 +35,9 @@ SOURCE_BINS, LANG_BINS = 32, 16
 
 @dataclass(frozen=True)
 class CoTraining:
-    labelled: int = 8000
-    pool: int = 4000
-    words: int = 1500
+    labelled: int = 6000
+    pool: int = 3000
+    words: int = 800
     rounds: int = 4
     sure: float = 0.98
     teach: int = 300
@@ -67,20 +66,21 @@ def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.nd
     return x
 
 
-def words_of(text: str) -> set[bytes]:
-    return set(text.encode("utf-8", "replace").translate(_BARE).split())
+def words_of(text: str) -> np.ndarray:
+    """Sorted 32-bit hashes of the distinct words."""
+    return np.unique(np.fromiter(map(zlib.crc32, set(text.encode("utf-8", "replace").translate(_BARE).split())), np.uint32))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Weights (the last is the bias) by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     beta = np.zeros(x.shape[1])
     damp = np.full(x.shape[1], ridge)
     damp[-1] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         g = x.T @ (w * (y - p)) - damp * beta
-        h = (x * (w * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(damp)
+        h = ((x * (w * p * (1 - p) + 1e-9)[:, None].astype(x.dtype)).T @ x).astype(float) + np.diag(damp)
         move = np.linalg.solve(h, g)
         beta += move * min(1.0, 5.0 / (np.abs(move).max() + 1e-9))
         if np.abs(move).max() < 1e-4:
@@ -96,7 +96,7 @@ def margin(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
 class Views:
     """Fitted models: telling words, scale of the style features, weights of both views and of their combination."""
 
-    words: dict[bytes, int] = field(default_factory=dict)
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(N_STYLE))
     scale: np.ndarray = field(default_factory=lambda: np.ones(N_STYLE))
     text: np.ndarray | None = None
@@ -105,19 +105,24 @@ class Views:
     meta_line: tuple[float, float] = (1.0, 0.0)
     both: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
-    def text_row(self, shape: np.ndarray, found: set[bytes]) -> np.ndarray:
-        x = np.zeros(N_STYLE + len(self.words))
+    def told(self, found: np.ndarray) -> np.ndarray:
+        """Places of the telling words among those found."""
+        if not len(self.words):
+            return np.zeros(0, int)
+        at = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
+        return at[self.words[at] == found]
+
+    def text_row(self, shape: np.ndarray, found: np.ndarray) -> np.ndarray:
+        x = np.zeros(N_STYLE + len(self.words), np.float32)
         x[:N_STYLE] = np.clip((shape - self.mean) / self.scale, -8, 8)
-        for k in map(self.words.get, found):
-            if k is not None:
-                x[N_STYLE + k] = 1
+        x[N_STYLE + self.told(found)] = 1
         return x
 
     def scores(self, text: str, lang: str | None, source: str | None, n_chars: int | None) -> tuple[float, float, float]:
         if self.text is None:
             return 0.5, 0.5, 0.5
         shape = np.clip((style(text) - self.mean) / self.scale, -8, 8)
-        found = sorted(k for k in map(self.words.get, words_of(text)) if k is not None)
+        found = self.told(words_of(text))
         a = float(shape @ self.text[:N_STYLE] + self.text[N_STYLE:-1][found].sum() + self.text[-1])
         b = float(margin(metadata(lang, source, n_chars), self.meta))
         a, b = self.text_line[0] * a + self.text_line[1], self.meta_line[0] * b + self.meta_line[1]
@@ -125,20 +130,17 @@ class Views:
         return tuple(1 / (1 + np.exp(-np.clip((a, b, c), -50, 50))))
 
 
-def telling(found: list[set[bytes]], y: np.ndarray, most: int) -> dict[bytes, int]:
-    """The words whose presence says most about ``y``, by chi-square; seen in three rows at least."""
-    good, bad = Counter(), Counter()
-    for ws, label in zip(found, y):
-        (good if label else bad).update(ws)
+def telling(found: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
+    """The words (hashes, sorted) whose presence says most about ``y``, by chi-square; seen in three rows at least."""
+    words, place = np.unique(np.concatenate(found), return_inverse=True)
+    labels = np.repeat(y, [len(f) for f in found])
+    a, b = np.bincount(place, labels, len(words)), np.bincount(place, 1 - labels, len(words))
     n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
-    rank = []
-    for w in good.keys() | bad.keys():
-        a, b = good[w], bad[w]
-        if a + b >= 3:
-            share = (a + b) / (n1 + n0)
-            rank.append(((a - n1 * share) ** 2 / (n1 * share) + (b - n0 * share) ** 2 / (n0 * share), w))
-    rank.sort(key=lambda x: (-x[0], x[1]))
-    return {w: k for k, (_, w) in enumerate(rank[:most])}
+    share = (a + b) / (n1 + n0)
+    chi = (a - n1 * share) ** 2 / (n1 * share) + (b - n0 * share) ** 2 / (n0 * share)
+    chi[a + b < 3] = -1
+    best = np.lexsort((words, -chi))[:most]
+    return np.sort(words[best[chi[best] >= 0]])
 
 
 def fit(rows: list[dict], spec: CoTraining = CoTraining()) -> Views:
@@ -153,7 +155,7 @@ def fit(rows: list[dict], spec: CoTraining = CoTraining()) -> Views:
     shapes = np.array([r["style"] for r in known])
     v.mean, v.scale = shapes[learn].mean(0), shapes[learn].std(0) + 1e-6
     every = [*known, *(r for r in rows if r["label"] is None)]
-    xt, xm = np.array([v.text_row(r["style"], r["words"]) for r in every]), np.array([r["meta"] for r in every])
+    xt, xm = np.array([v.text_row(r["style"], r["words"]) for r in every]), np.array([r["meta"] for r in every], np.float32)
     n = len(known)
     base = np.flatnonzero(learn)
     taught: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
@@ -185,17 +187,15 @@ def fit(rows: list[dict], spec: CoTraining = CoTraining()) -> Views:
 
 
 _INPUT = ("doc_id", "text", "lang", "source", "n_chars")
-_SAMPLE = "label int, style array<double>, words array<binary>, meta array<double>"
+_SAMPLE = "label int, style binary, words binary, meta binary"
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [t or "" for t in b.column("text").to_pylist()]
         meta = [metadata(*x) for x in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")))]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("label"), pa.array([style(t).tolist() for t in texts], pa.list_(pa.float64())), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.binary())), pa.array([m.tolist() for m in meta], pa.list_(pa.float64()))],
-            ["label", "style", "words", "meta"],
-        )
+        raw = [[x.tobytes() for x in c] for c in (map(style, texts), map(words_of, texts), meta)]
+        yield pa.RecordBatch.from_arrays([b.column("label"), *(pa.array(c, pa.binary()) for c in raw)], ["label", "style", "words", "meta"])
 
 
 def trained(docs: DataFrame, labels: DataFrame, spec: CoTraining = CoTraining()) -> Views:
@@ -204,14 +204,22 @@ def trained(docs: DataFrame, labels: DataFrame, spec: CoTraining = CoTraining())
     merged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(good.cast("int").alias("label"))
     merged = stored(merged, "labels")
     ids = docs.where("doc_id is not null").select("doc_id")
-    first = lambda df, n: df.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+    def first(df: DataFrame, n: int) -> DataFrame:
+        """The ``n`` first by hash; rows that cannot be among them go before the sort, so that no task sends more than its share."""
+        rows = stored(df.distinct(), "ids")
+        share = min(1.0, 2 * n / max(1, rows.count()))
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+        return rows.where(place < int(share * (1 << 20)) + 1).orderBy(place, "doc_id").limit(n)
+
     known = first(ids.join(merged, "doc_id"), spec.labelled)
     other = first(ids.join(merged.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int")), spec.pool)
     chosen = stored(known.union(other), "chosen")
     rows = docs.join(F.broadcast(chosen), "doc_id").select("label", "text", "lang", "source", "n_chars").mapInArrow(_featured, _SAMPLE).collect()
-    rows = sorted(rows, key=lambda r: (r["label"] is None, [bytes(w) for w in r["words"][:3]], r["style"]))
-    rng = np.random.default_rng(5)
-    return fit([{"label": rows[k]["label"], "style": np.array(rows[k]["style"]), "words": {bytes(w) for w in rows[k]["words"]}, "meta": np.array(rows[k]["meta"])} for k in rng.permutation(len(rows))], spec)
+    rows = sorted(rows, key=lambda r: (r["label"] is None, bytes(r["words"]), bytes(r["style"])))
+    rng, of = np.random.default_rng(5), lambda raw, kind=np.float64: np.frombuffer(bytes(raw), kind)
+    order = rng.permutation(len(rows)).tolist()
+    return fit([{"label": rows[k]["label"], "style": of(rows[k]["style"]), "words": of(rows[k]["words"], np.uint32), "meta": of(rows[k]["meta"])} for k in order], spec)
 
 
 _OUT = "doc_id long, text_score double, meta_score double, score double, kept boolean"
