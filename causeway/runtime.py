@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
         held = sc._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="causeway-")
+        local = tempfile.mkdtemp(prefix="causeway-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = "file://" + local
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -33,6 +37,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/causeway/{label}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what queries have left in the shared folder; for when none of their results is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/causeway")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
