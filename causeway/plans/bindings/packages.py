@@ -50,10 +50,10 @@ def m17_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e01_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All modes, one after the other, over the same graphs."""
-    graphs = scan.build_graphs(sources(spark))
+    ready = scan.Prepared(scan.build_graphs(sources(spark)))
     out = None
     for mode in MODES:
-        f = scan.evaluate(graphs, Options(mode)).select(F.lit(mode).alias("mode"), "dist_id", "rule", "severity", "phase", "confidence", F.round("score", 9).alias("score"), "message")
+        f = scan.evaluate(ready, Options(mode)).select(F.lit(mode).alias("mode"), "dist_id", "rule", "severity", "phase", "confidence", F.round("score", 9).alias("score"), "message")
         out = f if out is None else out.unionByName(f)
     return out
 

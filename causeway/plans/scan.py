@@ -219,15 +219,32 @@ def _steps(paths: DataFrame, g: Graphs, keys: list[str]) -> DataFrame:
     return found.withColumn("steps", F.transform("steps", lambda s, k: F.struct(F.when(k == last, "sink").otherwise(s["kind"]).alias("kind"), s["path"].alias("path"), s["line"].alias("line"), s["col"].alias("col"), s["symbol"].alias("symbol"), s["detail"].alias("detail"))))
 
 
-def evaluate(graphs: DataFrame, options: Options = Options()) -> DataFrame:
+class Prepared:
+    """What all modes share: sources, sinks, phases, and the steps of all data paths, each computed once."""
+
+    def __init__(self, graphs: DataFrame):
+        self.g = g = Graphs(graphs)
+        self.sources, self.sinks = stored(find_sources(g), "sources"), stored(find_sinks(g), "sinks")
+        self.phases = stored(reach.strongest_phase(g.calls, g.roots.select(F.col("key").alias("node"), "phase")), "phases").select(F.col("node").alias("owner"), F.col("phase").alias("phase_ord"))
+        self._steps: DataFrame | None = None
+
+    def steps(self) -> DataFrame:
+        if self._steps is None:
+            g, ends = self.g, self.sinks.select("node").distinct()
+            plain = reach.data_paths(g.edges, self.sources.select(F.col("node").alias("search"), "node").distinct(), ends)
+            via = g.writes.where("go is not null").select(F.col("written").alias("stop"), "go")
+            downloads = self.sources.where("source_kind = 'network_response'").select(F.col("node").alias("search"), "node").distinct()
+            joined = reach.paths_via(g.edges, downloads, via, ends)
+            paths = plain.select("search", "node", "nodes", "edges", F.lit("").alias("via")).union(joined.select("search", "node", "nodes", "edges", F.lit("file_write").alias("via")))
+            self._steps = stored(_steps(paths, g, ["search", "node", "via"]), "steps")
+        return self._steps
+
+
+def evaluate(graphs: DataFrame | Prepared, options: Options = Options()) -> DataFrame:
     """E-01..E-09, E-16: findings of all rules over all distributions."""
-    g = Graphs(graphs)
-    spark = graphs.sparkSession
-    rules = cat.rules(spark)
-    sources, sinks = stored(find_sources(g), "sources"), stored(find_sinks(g), "sinks")
-    phases = stored(reach.strongest_phase(g.calls, g.roots.select(F.col("key").alias("node"), "phase")), "phases").select(F.col("node").alias("owner"), F.col("phase").alias("phase_ord"))
-    searches = sources.select(F.col("node").alias("search"), "node").distinct()
-    ends = sinks.select("node").distinct()
+    ready = graphs if isinstance(graphs, Prepared) else Prepared(graphs)
+    g, sources, sinks, phases = ready.g, ready.sources, ready.sinks, ready.phases
+    rules = cat.rules(g.graphs.sparkSession)
     by_source = rules.where("kind = 'data'").select("*", F.explode("sources").alias("source_kind")).drop("sources").select("*", F.explode("sinks").alias("sink_kind")).drop("sinks")
     src = sources.select("dist_id", F.col("node").alias("source"), "source_kind", F.col("pattern").alias("source_pattern"), F.col("path").alias("source_path"), F.col("line").alias("source_line"), F.col("col").alias("source_col"))
     snk = sinks.select("dist_id", F.col("node").alias("sink"), "sink_kind", F.col("pattern").alias("sink_pattern"), "owner", F.col("path").alias("sink_path"), F.col("line").alias("sink_line"), F.col("col").alias("sink_col"))
@@ -235,12 +252,7 @@ def evaluate(graphs: DataFrame, options: Options = Options()) -> DataFrame:
     if options.mode in ("file_cooccurrence", "definition_cooccurrence"):
         found = _cooccurring(g, rules, src, snk, options.mode)
     else:
-        plain = reach.data_paths(g.edges, searches, ends)
-        via = g.writes.where("go is not null").select(F.col("written").alias("stop"), "go")
-        joined = reach.paths_via(g.edges, sources.where("source_kind = 'network_response'").select(F.col("node").alias("search"), "node").distinct(), via, ends)
-        paths = plain.select("search", "node", "nodes", "edges", F.lit(None).cast("string").alias("via")).union(joined.select("search", "node", "nodes", "edges", F.lit("file_write").alias("via")))
-        steps = stored(_steps(paths.withColumn("via", F.coalesce("via", F.lit(""))), g, ["search", "node", "via"]), "steps")
-        hits = steps.withColumnRenamed("search", "source").withColumnRenamed("node", "sink")
+        hits = ready.steps().withColumnRenamed("search", "source").withColumnRenamed("node", "sink")
         data = hits.join(src, "source").join(snk.drop("dist_id"), "sink").join(F.broadcast(by_source.withColumn("via", F.coalesce("via", F.lit("")))), ["source_kind", "sink_kind", "via"])
         data = data.withColumn("confidence", F.coalesce("confidence", F.lit(2))).withColumn("obfuscated", F.coalesce("obfuscated", F.lit(False)) | (F.col("source_kind") == "decoded_literal"))
         keep = ["dist_id", "rule", "ord", "title", "kind", "severity", "severity_override", "objective", "typical_phase", "source", "source_pattern", "sink", "sink_pattern", "owner", "confidence", "obfuscated", "steps"]

@@ -13,8 +13,13 @@ def graphs(spark):
 
 
 @pytest.fixture(scope="module")
-def found(graphs):
-    return stored(scan.evaluate(graphs), "found")
+def ready(graphs):
+    return scan.Prepared(graphs)
+
+
+@pytest.fixture(scope="module")
+def found(ready):
+    return stored(scan.evaluate(ready), "found")
 
 
 @pytest.fixture(scope="module")
@@ -51,12 +56,12 @@ def test_reports(graphs, found, spark):
     assert rows["broken"]["stats"]["parse_errors"] >= 1
 
 
-def test_modes(graphs):
-    by_file = {(r["dist_id"], r["rule"]) for r in scan.evaluate(graphs, Options("file_cooccurrence")).collect()}
+def test_modes(ready):
+    by_file = {(r["dist_id"], r["rule"]) for r in scan.evaluate(ready, Options("file_cooccurrence")).collect()}
     assert ("env_disjoint", "EXF-001") in by_file
-    flat = {(r["dist_id"], r["rule"]): r["score"] for r in scan.evaluate(graphs, Options("reachability_unweighted")).collect()}
+    flat = {(r["dist_id"], r["rule"]): r["score"] for r in scan.evaluate(ready, Options("reachability_unweighted")).collect()}
     assert flat["env_exfil_runtime", "EXF-001"] == 1.0
-    sure = scan.evaluate(graphs, Options(min_confidence="resolved")).where("confidence <> 'resolved'")
+    sure = scan.evaluate(ready, Options(min_confidence="resolved")).where("confidence <> 'resolved'")
     assert sure.isEmpty()
 
 
