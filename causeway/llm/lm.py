@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm.bounded import most_frequent
 from causeway.runtime import ship, stored
 
 KNOWN = 100_000
@@ -246,13 +247,15 @@ def scores(documents: DataFrame, spec: LogBilinear = LogBilinear()) -> DataFrame
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = counts(docs, spec)
     total, kinds = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = table.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    words_only = table.where(F.octet_length("word") > 0)
+    first = [(bytes(r["word"]), r["n"]) for r in words_only.orderBy(F.desc("n"), "word").limit(spec.heads).collect()]
+    known = {bytes(r["word"]): r["n"] for r in most_frequent(words_only, "n", KNOWN).collect()} | dict(first)
     ends = table.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    logs = {bytes(r["word"]): float(np.log10(r["n"] + 1)) for r in top} | ({END: float(np.log10(ends + 1))} if ends else {})
-    heads = {w: k for k, w in enumerate(bytes(r["word"]) for r in top[: spec.heads])}
-    inside = sum(r["n"] for r in top[: spec.heads])
+    logs = {w: float(np.log10(n + 1)) for w, n in known.items()} | ({END: float(np.log10(ends + 1))} if ends else {})
+    heads = {w: k for k, (w, _) in enumerate(first)}
+    inside = sum(n for _, n in first)
     rest_n, rest_v = total - inside - ends, kinds - len(heads) - bool(ends)
-    unigram = np.array([*(r["n"] for r in top[: spec.heads]), rest_n + 1, ends + 1], np.float64)
+    unigram = np.array([*(n for _, n in first), rest_n + 1, ends + 1], np.float64)
     unigram /= unigram.sum()
     p = fitted(docs, heads, unigram, spec) if total else Parameters.start(unigram, spec)
 
