@@ -34,12 +34,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.runtime import ship
+from causeway.runtime import serve, ship
 
 #: The byte-level pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each of the two generations of the table of pieces, and of the table of fitting neighbours.
-TABLE_SIZE, FITS_SIZE = 120_000, 300_000
+TABLE_SIZE, FITS_SIZE = 100_000, 200_000
 CHUNK = 1 << 16
 
 
@@ -231,6 +231,14 @@ class Transducer:
         return out
 
 
+def _is_text(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Texts to tokens, with a table of recurring pieces."""
 
@@ -238,7 +246,11 @@ class Encoder:
         self.v = vocabulary(path)
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.v.special, key=len, reverse=True)) + ")") if self.v.special else None
-        self.table: dict[str, bytes] = {}
+        self.packed = [k.to_bytes(4, "little") for k in range(max(self.v.bytes_of) + 1)]
+        #: Pieces that are a token; every generation of the table begins with them.
+        self.whole = {t.decode(): self.packed[k] for t, k in self.v.id_of.items() if k in self.v.proper and _is_text(t)}
+        self.transducer = Transducer(self.v)
+        self.table: dict[str, bytes] = dict(self.whole)
         self.older: dict[str, bytes] = {}
 
     def piece(self, s: str) -> bytes:
@@ -248,14 +260,8 @@ class Encoder:
             got = self.older.get(s)
             if got is not None:
                 return self._held(s, got)
-            raw = s.encode("utf-8", "replace")
-            whole = self.v.id_of.get(raw)
-            if whole is not None and whole in self.v.proper:
-                ids = [whole]
-            else:
-                t = Transducer(self.v)
-                ids = t.feed(raw) + t.finish()
-            got = np.array(ids, "<u4").tobytes()
+            t = self.transducer
+            got = b"".join(map(self.packed.__getitem__, t.feed(s.encode("utf-8", "replace")) + t.finish()))
             if len(s) <= 64:
                 self._held(s, got)
         return got
@@ -265,6 +271,7 @@ class Encoder:
         if len(self.table) >= TABLE_SIZE:
             self.older = dict(self.table)
             self.table.clear()
+            self.table.update(self.whole)
         self.table[s] = got
         return got
 
@@ -326,10 +333,20 @@ def _digests(path: str):
 
 
 @cache
-def _encoder(path: str) -> Encoder:
+def _made(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _forget() -> None:
+    _made.cache_clear()
+    vocabulary.cache_clear()
+
+
+def _encoder(path: str) -> Encoder:
+    serve("bpe", _forget)
+    return _made(path)
+
+
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """One row for each document: number of tokens, digest of the ids, digest of the text decoded from them."""
     ship(docs.sparkSession)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.runtime import ship
+from causeway.runtime import serve, ship
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
@@ -198,6 +198,7 @@ def _passes(block, names: list[str]):
         return pa.RecordBatch.from_arrays([own[c] if c in own else b.column(c) for c in names], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("decontam")
         for b in batches:
             if b.num_rows:
                 yield from flush([b])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.runtime import ship
+from causeway.runtime import serve, ship
 
 #: Common words by language (fixed values).
 COMMON = {
@@ -125,6 +125,7 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def _sum_histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    serve("quality")
     sums: dict[str, np.ndarray] = {}
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), _texts(b)):
