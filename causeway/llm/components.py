@@ -25,3 +25,14 @@ def connected(links: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
         if new.where("comp <> was").isEmpty():
             return labels
+
+
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components ``comps`` (node, comp) after further ``links`` (a, b), which are searched as links among components only."""
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}"))
+    mapped = stored(links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("_a", "a").alias("ca"), F.coalesce("_b", "b").alias("cb")), "mapped")
+    among = connected(mapped.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    fresh = mapped.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("node"), F.col("cb").alias("comp")))).alias("x")).select("x.*").distinct()
+    every = comps.union(fresh.join(comps.select("node"), "node", "left_anti").select("node", "comp"))
+    new = every.join(among.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", "left")
+    return stored(new.select("node", F.coalesce("_to", "comp").alias("comp")), "labels")

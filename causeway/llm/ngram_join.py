@@ -16,7 +16,9 @@ cannot overlap enough: the number of differing bits is a lower bound of the numb
 of up to SHORT documents give their pairs directly. Longer ones first give only a chain of links to their
 smallest sets; what that connects is one component, and only pairs across components are then
 compared, sketch against sketch, inside the task that holds a block of the list, so that neither links nor
-failures within a large group become rows. Lists longer than BLOCK are split into pairs of blocks.
+failures within a large group become rows. In the first rounds each document gives its closest partner
+across components only, which joins most of them; the last round gives every pair that is left. Lists longer than
+BLOCK are split into pairs of blocks.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing. Texts of fewer words than a
 shingle have one shingle, all their words. Rows of one id are one node: it has the links of all its rows. A
@@ -35,8 +37,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.components import connected
-from causeway.runtime import ship, stored
+from causeway.llm.bounded import most_frequent
+from causeway.llm.components import joined
+from causeway.runtime import serve, ship, stored
 
 #: Occurrences in merged lists that a candidate needs; pairs from lists of so many documents directly; documents
 #: of a block of a longer list.
@@ -44,7 +47,7 @@ SHARED, SHORT, BLOCK = 3, 64, 8192
 #: A token is frequent if a task finds it in HOT_LOCAL sets of a shard and all tasks together in HOT_TOTAL; at most
 #: HOT_KEPT tokens (8 bytes each) are sent to the tasks, which bounds a broadcast and changes no result.
 HOT_LOCAL, HOT_TOTAL, HOT_KEPT = 3, 64, 200_000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Up to so many ids (8 bytes each) are broadcast to find their texts; more go by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -105,6 +108,7 @@ def folded(raw: np.ndarray, size: int) -> np.ndarray:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    serve("ngram_join")
     ids, texts, size = [], [], 0
     for b in batches:
         for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -131,7 +135,7 @@ def _frequent(size: int):
 
 def frequent_tokens(docs: DataFrame, sim: Similarity) -> np.ndarray:
     sums = docs.mapInArrow(_frequent(sim.words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOTAL)
-    rows = sums.orderBy(F.desc("n"), "token").limit(HOT_KEPT).select("token").collect()
+    rows = most_frequent(stored(sums, "frequent"), "n", HOT_KEPT).select("token").collect()
     return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
 
 
@@ -304,16 +308,46 @@ def _probed(sim: Similarity):
     return run
 
 
-def _link(pairs: DataFrame, sets: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """Candidate pairs (a, b, n, m) that link: first by sketch, then exactly."""
-    sk = sets.select("doc_id", "sketch")
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the documents of ``ids`` (distinct doc_id); few ids go to where the rows are."""
+    ids = stored(ids, "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def _tokens(docs: DataFrame, ids: DataFrame, sim: Similarity) -> DataFrame:
+    """Sorted sets of the documents of ``ids``."""
+    return stored(_of(docs, ids).mapInArrow(_sets_of(sim.words), "doc_id long, tokens binary"), "tokens")
+
+
+def _exact(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """The pairs that link."""
+    found = _tokens(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), sim)
+    both = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
+    return stored(both.mapInArrow(_probed(sim), "a long, b long").distinct(), "links")
+
+
+def _link(comps: DataFrame, pairs: DataFrame, sketches: DataFrame, docs: DataFrame, sim: Similarity) -> tuple[DataFrame, bool]:
+    """Components (node, comp) after candidate pairs (a, b, n, m), and whether any pair linked.
+
+    Sketches go first. Of what they leave, each document is compared with one other; then only pairs across the
+    components that this gives, so that a group of copies costs as many comparisons as it has members.
+    """
+    pairs = stored(pairs, "pairs")
+    sk = stored(_of(sketches.select("doc_id", "sketch"), pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "sketches")
     both = pairs.join(sk.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
     near = stored(both.mapInArrow(_close(sim), "a long, b long").distinct(), "near")
-    ids = stored(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    found = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets_of(sim.words), "doc_id long, tokens binary"), "tokens")
-    exact = near.join(found.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return stored(exact.mapInArrow(_probed(sim), "a long, b long").distinct(), "links")
+    first = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = _exact(first, docs, sim)
+    found = not links.isEmpty()
+    comps = joined(comps, links) if found else comps
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}"))
+    rest = near.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
+    rest = stored(rest, "rest")
+    if not rest.isEmpty():
+        more = _exact(rest, docs, sim)
+        if not more.isEmpty():
+            return joined(comps, more), True
+    return comps, found
 
 
 def _enough(sim: Similarity) -> Column:
@@ -321,8 +355,17 @@ def _enough(sim: Similarity) -> Column:
     return F.col("times") >= F.least(F.lit(SHARED), F.ceil(total / F.lit(sim.num + sim.den)))
 
 
-def _across(sim: Similarity):
-    """Pairs of different components within a block of a list, or between two, that sketches do not rule out."""
+def _across(sim: Similarity, nearest: bool):
+    """Pairs of different components within a block of a list, or between two, that sketches do not rule out.
+
+    ``nearest``: of each document only the pair with the least share of differing bits.
+    """
+
+    def closest(r: np.ndarray, c: np.ndarray, share: np.ndarray) -> np.ndarray:
+        ends, share = np.concatenate([r, c]), np.concatenate([share, share])
+        order = np.lexsort((share, ends))
+        first = order[np.concatenate([[True], ends[order][1:] != ends[order][:-1]])]
+        return np.unique(first % len(r))
 
     def compare(g: list[tuple], pairs: _Pairs, diagonal: bool) -> None:
         if len({r[3] for r in g}) < 2:
@@ -348,7 +391,9 @@ def _across(sim: Similarity):
                 diff = np.zeros(len(r), np.int64)
                 for w in range(u.shape[1]):
                     diff += np.bitwise_count(u[k + r, w] ^ v[c, w])
-                good = diff <= most
+                good = np.flatnonzero(diff <= most)
+                if nearest and len(good):
+                    good = good[closest(x[r[good]], other[c[good]], diff[good] / (n[x[r[good]]] + n[other[c[good]]]))]
                 r, c = x[r[good]], other[c[good]]
                 pairs.add(ids[r], ids[c], n[r], n[c], np.ones(len(r), np.int64))
 
@@ -372,20 +417,31 @@ def _across(sim: Similarity):
     return run
 
 
-def _long_lists(long: DataFrame, links: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """Candidates across the components that ``links`` leave, from the blocks of long lists."""
-    comps = connected(links).select(F.col("node").alias("doc_id"), "comp")
-    rows = long.select("token", "block", "blocks", F.explode(F.arrays_zip("ids", "sizes")).alias("x"))
-    rows = rows.select("token", "block", "blocks", F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n"))
-    rows = rows.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    # lists that are one component by now are done
-    open_ = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    rows = rows.join(open_, "token", "left_semi").join(sets.select("doc_id", "sketch"), "doc_id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    rows = rows.select("token", "left", "right", "doc_id", "n", "comp", "block", "sketch").repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
-    pairs = rows.mapInArrow(_across(sim), "a long, b long, n int, m int, times int")
-    return pairs.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"))
+def _long_lists(long: DataFrame, comps: DataFrame, sets: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """``comps`` after the links across components that the blocks of long lists have."""
+    entries = long.select("token", "block", "blocks", F.explode(F.arrays_zip("ids", "sizes")).alias("x"))
+    entries = entries.select("token", "block", "blocks", F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n"))
+    # sketches of these documents are gathered once
+    ids = stored(entries.select("doc_id").distinct(), "long")
+    sketches = stored(sets.select("doc_id", "sketch").join(ids, "doc_id", "left_semi"), "sketches")
+    nearest = True
+    while True:
+        rows = stored(entries.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "entries")
+        # lists that are one component by now are done
+        open_ = stored(rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token"), "open")
+        if open_.isEmpty():
+            return comps
+        rows = rows.join(open_, "token", "left_semi")
+        entries = rows.drop("comp")
+        rows = rows.join(sketches, "doc_id")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        rows = rows.withColumn("other", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+        rows = rows.select("token", "left", "right", "doc_id", "n", "comp", "block", "sketch").repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
+        pairs = rows.mapInArrow(_across(sim, nearest), "a long, b long, n int, m int, times int")
+        comps, more = _link(comps, pairs.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m")), sketches, docs, sim)
+        if not nearest:
+            return comps
+        nearest = more
 
 
 def classes(documents: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
@@ -401,17 +457,20 @@ def classes(documents: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     copies = stored(named.groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")).where("first <> other").select("sig", "first"), "copies")
     later = stored(named.join(copies, "sig").where("doc_id <> first").select("doc_id", "first"), "later")
 
-    nodes = sets.where("doc_id is not null and n > 0").join(later.select("doc_id"), "doc_id", "left_anti")
+    gone = later.select("doc_id")
+    gone = F.broadcast(gone) if later.count() <= BROADCAST_IDS else gone
+    nodes = sets.where("doc_id is not null and n > 0").join(gone, "doc_id", "left_anti")
     entries = nodes.select("doc_id", "n", "short").mapInArrow(_entries, "token long, n int, doc_id long, place int")
     in_order = entries.repartition("token").sortWithinPartitions("token", "n", "doc_id")
     cand = stored(in_order.mapInArrow(_merged(sim), CANDIDATES), "candidates")
 
     pairs = cand.where("a is not null").groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("times").alias("times"))
-    links = _link(pairs.where(_enough(sim)), sets, docs, sim)
+    comps = spark.createDataFrame([], "node long, comp long")
+    comps, _ = _link(comps, pairs.where(_enough(sim)), sets, docs, sim)
     long = cand.where("token is not null")
     if not long.isEmpty():
-        links = links.union(_link(_long_lists(long, links, sets, sim), sets, docs, sim))
-    comps = connected(links.union(later.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
+        comps = _long_lists(long, comps, sets, docs, sim)
+    comps = joined(comps, later.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     out = small.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
