@@ -39,7 +39,7 @@ from causeway.runtime import serve, ship
 #: The byte-level pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each of the two generations of the table of pieces, and of the table of fitting neighbours.
-TABLE_SIZE, FITS_SIZE = 100_000, 200_000
+TABLE_SIZE, FITS_SIZE = 120_000, 300_000
 CHUNK = 1 << 16
 
 
@@ -231,14 +231,6 @@ class Transducer:
         return out
 
 
-def _is_text(raw: bytes) -> bool:
-    try:
-        raw.decode()
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
 class Encoder:
     """Texts to tokens, with a table of recurring pieces."""
 
@@ -247,10 +239,8 @@ class Encoder:
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.v.special, key=len, reverse=True)) + ")") if self.v.special else None
         self.packed = [k.to_bytes(4, "little") for k in range(max(self.v.bytes_of) + 1)]
-        #: Pieces that are a token; every generation of the table begins with them.
-        self.whole = {t.decode(): self.packed[k] for t, k in self.v.id_of.items() if k in self.v.proper and _is_text(t)}
         self.transducer = Transducer(self.v)
-        self.table: dict[str, bytes] = dict(self.whole)
+        self.table: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def piece(self, s: str) -> bytes:
@@ -260,8 +250,10 @@ class Encoder:
             got = self.older.get(s)
             if got is not None:
                 return self._held(s, got)
-            t = self.transducer
-            got = b"".join(map(self.packed.__getitem__, t.feed(s.encode("utf-8", "replace")) + t.finish()))
+            raw, t = s.encode("utf-8", "replace"), self.transducer
+            whole = self.v.id_of.get(raw)
+            ids = [whole] if whole is not None and whole in self.v.proper else t.feed(raw) + t.finish()
+            got = b"".join(map(self.packed.__getitem__, ids))
             if len(s) <= 64:
                 self._held(s, got)
         return got
@@ -271,7 +263,6 @@ class Encoder:
         if len(self.table) >= TABLE_SIZE:
             self.older = dict(self.table)
             self.table.clear()
-            self.table.update(self.whole)
         self.table[s] = got
         return got
 
