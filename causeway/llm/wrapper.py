@@ -2,17 +2,18 @@
 
 Pages of a host are parsed into trees and aligned with the host's template by simple tree matching: two nodes
 match if their labels do, and the children of matching nodes are aligned in order so that most nodes match. Runs of
-like siblings (items of a menu, paragraphs) are one node of the aligned tree. Every node of the template counts
-its pages and the most frequent texts of its slot. Texts that most pages of the host have in the same slot are
+like siblings (items of a menu, paragraphs) are one node of the aligned tree. Every node of the template has the
+number of its pages and of those with each text of its slot, counted exactly. Texts that most pages of the host have in the same slot are
 template; slots whose texts vary are content. Two kinds of knowledge about a page's own labels complete
 this: menus, adverts, forms and the like are no content though they vary, and an article element bounds
 the content where there is one.
 
 Templates are learnt in three steps: every task aligns its own pages into one template a host; partial templates
 of a host are aligned with each other in salted groups, then at last among those. A template has a size of its own, not of the number of
-pages, so a host with a third of all pages is no larger a group than others. The second pass joins
-templates to pages by host: by broadcast if Spark finds them small, else by a join whose skewed hosts
-are split.
+pages, so a host with a third of all pages is no larger a group than others. These templates are trees without
+texts. The second pass joins them to pages by host (by broadcast if Spark finds them small, else by a join whose skewed hosts
+are split) and aligns each page again; the pages of each slot and of each text in it are summed by host, slot and text, and texts of
+half of the slot's pages or more, of which there are few, complete the template. The third pass joins these templates to pages in the same way.
 
 Defined results: a null html or one without content gives an empty text. A null or unreadable url has the host "". A page alone on its host, or among
 exact copies, has no varying slots: its labels decide. Repeated rows each give a row. An empty table
@@ -25,6 +26,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +37,9 @@ from pyspark.sql import functions as F
 from causeway.runtime import ship, stored
 
 SALT = 16
-KEPT_TEXTS = 24
 WIDE, DEEP = 64, 120
+#: Pages of a slot that have a text that is template, at least, and their share.
+LEAST_PAGES, LEAST_SHARE = 3, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe xmp template noembed noframes".split())
@@ -138,7 +141,7 @@ def parse(text: str) -> Node:
 
 
 class Slot:
-    """A node of an aligned tree: label, pages that have it, most frequent texts (by hash) and kids."""
+    """A node of an aligned tree: label, pages that have it, pages of each text (by hash) and kids."""
 
     __slots__ = ("label", "pages", "texts", "kids", "own")
 
@@ -159,12 +162,17 @@ class Slot:
         return s
 
     def count(self, texts: dict[int, int]) -> None:
-        """Adds counts of texts; of more than KEPT_TEXTS all lose what the first to leave has."""
+        """Adds counts of texts."""
         for h, n in texts.items():
             self.texts[h] = self.texts.get(h, 0) + n
-        if len(self.texts) > KEPT_TEXTS:
-            cut = sorted(self.texts.values(), reverse=True)[KEPT_TEXTS]
-            self.texts = {h: n - cut for h, n in self.texts.items() if n > cut}
+
+    def slots(self) -> Iterator[Slot]:
+        """This and all below, each before its kids."""
+        todo = [self]
+        while todo:
+            s = todo.pop()
+            yield s
+            todo += reversed(s.kids)
 
 
 def _narrow(kids: list[Slot]) -> list[Slot]:
@@ -304,30 +312,33 @@ def learn(template: Slot, other: Slot) -> None:
 
 def page_tree(text: str) -> tuple[Slot, list[Block]]:
     top, blocks = aligned_tree(parse(text))
-    todo = [top]
-    while todo:
-        s = todo.pop()
+    for s in top.slots():
         s.count({h: 1 for h, _ in s.own})
-        todo += s.kids
     return top, blocks
 
 
-def mark_fixed(template: Slot, page: Slot) -> None:
-    """Marks the blocks that most pages of the template have in the same slot."""
+def aligned(template: Slot, page: Slot) -> Iterator[tuple[Slot, Slot]]:
+    """Slots of the template and of the page that match."""
     memo: dict = {}
     todo = [(template, page)]
     while todo:
         a, b = todo.pop()
+        yield a, b
+        todo += [(a.kids[i], b.kids[j]) for i, j in matching(a, b, memo)[1]]
+
+
+def mark_fixed(template: Slot, page: Slot) -> None:
+    """Marks the blocks that most pages of the template have in the same slot."""
+    for a, b in aligned(template, page):
         for h, block in b.own:
             n = a.texts.get(h, 0)
-            block.fixed = n >= 5 and n >= 0.9 * a.pages if block.inside else n >= 3 and n >= 0.5 * a.pages
-        todo += [(a.kids[i], b.kids[j]) for i, j in matching(a, b, memo)[1]]
+            block.fixed = n >= 5 and n >= 0.9 * a.pages if block.inside else n >= LEAST_PAGES and n >= LEAST_SHARE * a.pages
 
 
 def main_text(text: str | None, template: Slot | None = None) -> str:
     if not text:
         return ""
-    tree, blocks = page_tree(text)
+    tree, blocks = aligned_tree(parse(text))
     if template is not None:
         mark_fixed(template, tree)
     open_ = [b for b in blocks if not b.barred]
@@ -365,7 +376,7 @@ def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, text in zip(b.column("host").to_pylist(), b.column("html")):
             text = text.as_py()
             if text:
-                tree, _ = page_tree(text)
+                tree, _ = aligned_tree(parse(text))
                 if host in found:
                     learn(found[host], tree)
                 else:
@@ -392,13 +403,58 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([(*key, json.dumps(held.dump()))])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """Columns host and template (JSON), one row for each host."""
-    ship(pages.sparkSession)
+def shapes(pages: DataFrame) -> DataFrame:
+    """Columns host and template (JSON, without texts), one row for each host."""
     parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_learnt, _STATE)
     parts = parts.repartition("host", "salt").sortWithinPartitions("host", "salt", "template").mapInArrow(_united, _STATE)
     whole = parts.withColumn("salt", F.lit(0)).repartition("host").sortWithinPartitions("host", "template").mapInArrow(_united, _STATE)
-    return stored(whole.select("host", "template"), "templates")
+    return stored(whole.select("host", "template"), "shapes")
+
+
+_COUNTS = "host string, slot int, text long, n long"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of a batch in each slot of their host's template (text null) and with each text there."""
+    for b in batches:
+        sums: Counter = Counter()
+        for host, text, raw in zip(b.column("host").to_pylist(), b.column("html"), b.column("template").to_pylist()):
+            text = text.as_py()
+            if text:
+                template, place = _placed(raw)
+                for slot, mine in aligned(template, aligned_tree(parse(text))[0]):
+                    k = place[id(slot)]
+                    sums[host, k, None] += 1
+                    sums.update({(host, k, h) for h, _ in mine.own})
+        if sums:
+            hosts, slots, texts = zip(*sums)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(slots, pa.int32()), pa.array(texts, pa.int64()), pa.array(sums.values(), pa.int64())], ["host", "slot", "text", "n"])
+
+
+def _completed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for raw, found in zip(b.column("template").to_pylist(), b.column("found").to_pylist()):
+            template = Slot.load(json.loads(raw))
+            slots = list(template.slots())
+            for x in found or ():
+                slots[x["slot"]].pages = x["pages"]
+                slots[x["slot"]].texts[x["text"]] = x["n"]
+            out.append(json.dumps(template.dump()))
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.string())], ["host", "template"])
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """Columns host and template (JSON), one row for each host; of the texts of a slot those of its pages' half or more."""
+    ship(pages.sparkSession)
+    bare = shapes(pages)
+    own = pages.select(host_of(F.col("url")).alias("host"), "html").where("html <> ''")
+    sums = own.join(bare, "host").select("host", "html", "template").mapInArrow(_counted, _COUNTS).groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
+    sums = stored(sums.where(F.col("text").isNull() | (F.col("n") >= LEAST_PAGES)), "counts")
+    of_slot = sums.where("text is null").select("host", "slot", F.col("n").alias("pages"))
+    often = sums.where("text is not null").join(of_slot, ["host", "slot"]).where(F.col("n") >= LEAST_SHARE * F.col("pages"))
+    found = often.groupBy("host").agg(F.collect_list(F.struct("slot", "text", "n", "pages")).alias("found"))
+    return stored(bare.join(found, "host", "left").select("host", "template", "found").mapInArrow(_completed, "host string, template string"), "templates")
 
 
 @lru_cache(256)
@@ -406,6 +462,13 @@ def _loaded(raw: str) -> Slot:
     return Slot.load(json.loads(raw))
 
 
+@lru_cache(256)
+def _placed(raw: str) -> tuple[Slot, dict[int, int]]:
+    """A template and the place of each of its slots in their order."""
+    template = Slot.load(json.loads(raw))
+    return template, {id(s): k for k, s in enumerate(template.slots())}
+
+
 _TEXT = "page_id long, url string, text string, n_chars long"
 
 

@@ -50,3 +50,11 @@ def test_query(spark):
     assert [texts[k]["text"] for k in (50, 51, 52, None)] == ["", "", "plain text", "Text 1"]
     assert extract(df.limit(0)).count() == 0
     assert wrapper.templates(df).count() == 3  # the page without markup has a host of the others
+
+
+def test_constant_text_among_many_siblings(spark):
+    notice = "Please read our terms before you go on."
+    rows = [(k, f"http://many.org/{k}", page(k, "<article>" + "".join(f"<p>Part {j} of page {k}.</p>" for j in range(30)) + f"<p>{notice}</p></article>")) for k in range(40)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert len(got) == 40
+    assert all(r["text"] == " ".join(f"Part {j} of page {r['page_id']}." for j in range(30)) for r in got)
