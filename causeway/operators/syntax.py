@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from causeway.runtime import ship
 
-#: Repairs tried on a file that does not parse; nesting followed; bounds of folding (fixed values).
+#: Repairs tried on a whole file that does not parse, before its blocks are repaired one by one; nesting followed; bounds of folding (fixed values).
 REPAIRS, NESTING = 60, 200
 FOLD_DEPTH, FOLD_BYTES, FOLD_NESTING = 8, 1 << 20, 256
 
@@ -35,13 +35,148 @@ def _whole(text: str) -> ast.Module:
         return ast.parse(text)
 
 
+_TOKEN = re.compile(r"""(?s)#[^\n]*|\\.|('''|\"\"\")(?:[^\\]|\\.)*?\1|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|[(\[{]|[)\]}]|\n""")
+_STATEMENT = re.compile(r"\s*(?:(?:def|class|import|from|with|while|try|return|raise|del|pass|global|assert)\b|@)")
+_CLAUSE = re.compile(r"\s*(elif|else|except|finally|if|for|while|try|with|def|class|async|match|case)\b")
+#: What a clause may follow.
+_AFTER = {"elif": {"if", "elif"}, "else": {"if", "elif", "for", "while", "except"}, "except": {"try", "except"}, "finally": {"try", "except", "else of try"}}
+_PAIRS = {")": "(", "]": "[", "}": "{"}
+
+
+def _ends(lines: list[str]) -> list[int]:
+    """For each line the last line that strings, brackets and continuations begun on it reach; open ones reach no further."""
+    ends, open_, line = list(range(len(lines))), [], 0
+    for m in _TOKEN.finditer("\n".join(lines)):
+        x = m[0]
+        if x == "\n":
+            line += 1
+            if open_ and _STATEMENT.match(lines[line]):
+                open_.clear()
+        elif x in "([{":
+            open_.append((x, line))
+        elif x in _PAIRS:
+            if open_ and open_[-1][0] == _PAIRS[x]:
+                begin = open_.pop()[1]
+                ends[begin] = max(ends[begin], line)
+        elif n := x.count("\n"):
+            ends[line] = max(ends[line], line + n)
+            line += n
+    return ends
+
+
+def _indent(line: str) -> int:
+    return len((m := re.match(r"[ \t\f]*", line)[0]).expandtabs(8)) if line else 0
+
+
+def _parses(text: str) -> bool:
+    try:
+        _whole("if 1:\n" + text if text[:1] in (" ", "\t", "\f") else text)
+        return True
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+
+
+def _mended(lines: list[str]) -> int:
+    """Repairs in place, block by block: an error costs its own statement, or the clause that heads a block but not the block.
+
+    Every block is parsed once at each level of nesting, so the work grows with the text and not with the number of errors.
+    """
+    ends, errors, logical, k = _ends(lines), 0, [], 0
+    while k < len(lines):
+        begin = last = k
+        while k <= last:
+            last = max(last, ends[k])
+            k += 1
+        if lines[begin].strip() and not lines[begin].lstrip().startswith("#"):
+            logical.append((begin, k))
+
+    def drop(a: int, b: int) -> None:
+        lines[a:b] = [re.match(r"[ \t\f]*", lines[a])[0] + "pass", *[""] * (b - a - 1)]
+
+    todo = [(0, len(logical))]
+    while todo:
+        lo, hi = todo.pop()
+        if _parses("\n".join(lines[logical[lo][0] : logical[hi - 1][1]]) if lo < hi else ""):
+            continue
+        base = re.match(r"[ \t\f]*", lines[logical[lo][0]])[0]
+        width, groups = _indent(base), []
+        for k in range(lo, hi):
+            if not groups or _indent(lines[logical[k][0]]) <= width:
+                groups.append([k, k + 1])
+            else:
+                groups[-1][1] = k + 1
+        kind, tried = "", None
+        for g, (first, end) in enumerate(groups):
+            a, b = logical[first]
+            if not lines[a].startswith(base) or _indent(lines[a]) != width:
+                lines[a] = base + lines[a].lstrip()
+                errors += 1
+            head, text = "\n".join(lines[a:b]), lines[a].lstrip()
+            m = _CLAUSE.match(lines[a])
+            word = m[1] if m else ""
+            body = end - first > 1
+            if tried is not None and word not in ("except", "finally"):
+                lines[tried] = base + "if 1:"
+                errors += 1
+            tried = None
+            if not body and _parses(head) and not (word in _AFTER):
+                kind = word if word in ("if", "for", "while") else ""
+                continue
+            if text.startswith("@"):
+                after = lines[logical[groups[g + 1][0]][0]].lstrip() if g + 1 < len(groups) else ""
+                if body or not re.match(r"@|(?:async\s+)?def\b|class\b", after) or not _parses(f"{head}\n{base}def f(): pass"):
+                    drop(a, b)
+                    errors += 1
+                kind = ""
+            else:
+                inner = base + " "
+                opens = f"{base}{ {'elif': 'if 1:', 'else': 'if 1:', 'except': 'try:', 'finally': 'try:', 'case': 'match x:'}.get(word, '') }\n"
+                shell = (opens + (inner + head.lstrip() + f"\n{inner} pass" if word == "case" else (f"{inner}pass\n" if opens.strip() else "") + head + (f"\n{inner}pass" if body else ""))).lstrip("\n")
+                if word == "try":
+                    shell += f"\n{base}finally:\n{inner}pass"
+                fits = word not in _AFTER or kind in _AFTER[word]
+                if not fits or word == "case" and width == 0 or not _parses(shell):
+                    errors += 1
+                    drop(a, b)
+                    if body:
+                        lines[a] = base + "if 1:"
+                    kind = "if" if body else ""
+                else:
+                    kind = "else of try" if word == "else" and kind == "except" else "" if word in ("else", "finally") else word
+                    tried = a if word == "try" else None
+            if body:
+                todo.append((first + 1, end))
+        if tried is not None:
+            lines[tried] = base + "if 1:"
+            errors += 1
+    return errors
+
+
+def _replaced(lines: list[str], lo: int, hi: int) -> tuple[ast.Module, int]:
+    """The tree of a block, after as many repairs of a line as it takes: each ends as ``pass`` or empty."""
+    errors = 0
+    while True:
+        try:
+            return _whole("\n".join(lines[lo:hi])), errors
+        except SyntaxError as e:
+            at = lo + min(max((e.lineno or 1) - 1, 0), hi - lo - 1)
+        except (ValueError, RecursionError, MemoryError):
+            at = lo
+        errors += 1
+        if not lines[at].strip():
+            at = next(k for k in range(lo, hi) if lines[k].strip())
+        new = re.match(r"\s*", lines[at])[0] + "pass"
+        lines[at] = "" if lines[at] == new else new
+
+
 def parse(text: str) -> tuple[ast.Module, str, int]:
     """P-01: a tree of any text, the text it is of, and the number of places that did not parse.
 
-    A line that fails is replaced by ``pass`` of the same indentation and the text is tried again, so often at
-    most; what is then left unparsed counts as one error and gives an empty tree.
+    A line that fails is replaced by ``pass`` of the same indentation and the text is tried again, at most REPAIRS times. What
+    does not parse then is repaired block by block from the text as it was, and what still fails as a whole is parsed a top-level block at a time.
     """
-    lines = text.replace("\0", " ").split("\n")
+    lines = text.replace("\0", " ").encode("utf-8", "replace").decode().split("\n")
+    own = list(lines)
     errors = 0
     for _ in range(REPAIRS):
         try:
@@ -57,7 +192,25 @@ def parse(text: str) -> tuple[ast.Module, str, int]:
                     break
         except (ValueError, RecursionError, MemoryError):
             break
-    return ast.Module([], []), "", errors + 1
+    errors = _mended(own)
+    try:
+        return _whole("\n".join(own)), "\n".join(own), errors
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        pass
+    ends, starts, k = _ends(own), [0], 0
+    while k < len(own):
+        if k and own[k].strip() and own[k][0] not in " \t\f#" and not re.match(r"(?:elif|else|except|finally)\b", own[k]) and not own[starts[-1]].startswith("@"):
+            starts.append(k)
+        last = k
+        while k <= last:
+            last = max(last, ends[k])
+            k += 1
+    body: list[ast.stmt] = []
+    for lo, hi in zip(starts, [*starts[1:], len(own)]):
+        tree, more = _replaced(own, lo, hi)
+        errors += more
+        body += ast.increment_lineno(tree, lo).body
+    return ast.Module(body, []), "\n".join(own), errors
 
 
 def kind_of(node: ast.AST) -> str:

@@ -1,6 +1,8 @@
+import ast
+
 import pytest
 
-from causeway.operators import catalogue, walker
+from causeway.operators import catalogue, syntax, walker
 from causeway.plans import samples, scan
 from causeway.plans.scan import Options
 from causeway.runtime import stored
@@ -90,3 +92,18 @@ def test_fan_out_hub():
     assert len(hubs) == 2  # receiver and first argument
     few = walker.Package([("m.py", classes.split("class C8")[0] + "def f(x, y):\n    return x.go(y)\n")], ["m"]).build()
     assert not [n for n in few.nodes if n[2].startswith("<fan-out")]
+
+
+@pytest.mark.parametrize("junk", [["print 'x'"] * 200, ["x = = 1"] * 80 + ["def f(:", "  x = "] * 40, ["else:", "    print 'a'"] * 100, ["f(", "'''open"] * 70, ["    " * (k % 5) + "a b" for k in range(150)], ["try:", "    print 1"] * 70])
+def test_many_broken_lines_cost_themselves_only(junk):
+    kept = ["import os", "def g(v):", "    if v:", "        print 'no'", "        os.system(v)", "    else:", "        os.remove(v)"]
+    for text in ("\n".join([*junk, *kept]), "\n".join([*kept, *junk, "os.popen('x')"]), "\n".join([*kept[:2], *("    " + x for x in junk), *kept[2:]])):
+        calls = {ast.unparse(n.func) for n in ast.walk(syntax.parse(text)[0]) if isinstance(n, ast.Call)}
+        assert {"os.system", "os.remove"} <= calls
+        assert "os.popen" in calls or "os.popen" not in text
+    assert syntax.parse(text)[2] >= 60
+
+
+def test_nesting_costs_its_own_statement():
+    text = "import os\nx = " + "(" * 5000 + ")" * 5000 + "\nos.system('a')\n" + "y = " + "-" * 100000 + "1\nos.remove('b')\n"
+    assert {"os.system", "os.remove"} <= {ast.unparse(n.func) for n in ast.walk(syntax.parse(text)[0]) if isinstance(n, ast.Call)}
