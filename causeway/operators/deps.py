@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.names import package_name, requirement_name, requirement_optional
-from causeway.operators.reach import bfs
 from causeway.runtime import stored
 
 #: Nodes beyond which betweenness is not computed (fixed value).
 BETWEENNESS_NODES = 5000
+#: Levels after which what is reached is stored as one table; changes no result.
+LEVELS = 16
 
 
 def from_requirements(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,10 +33,25 @@ def required_edges(edges: DataFrame) -> DataFrame:
     return edges.where(~F.col("requirement").rlike(r"extra\s*=="))
 
 
+def reached_from(hops: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Columns search, node and depth: all that each name reaches along ``hops`` (src, dst), however far, itself at depth 0."""
+    hop = stored(hops.distinct(), "hops")
+    level = stored(nodes.select(F.col("name").alias("search"), F.col("name").alias("node"), F.lit(0).alias("depth")).distinct(), "level")
+    seen, d = level, 0
+    while True:
+        d += 1
+        met = level.withColumnRenamed("node", "src").join(hop, "src").select("search", F.col("dst").alias("node")).distinct()
+        level = stored(met.join(seen, ["search", "node"], "left_anti").withColumn("depth", F.lit(d)), "level")
+        if level.isEmpty():
+            return seen
+        seen = seen.union(level)
+        if d % LEVELS == 0:
+            seen = stored(seen, "reached")
+
+
 def blast_radius(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """B-03, B-04: direct and transitive dependents of every node, and their share of the others."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).alias("edge"))
-    reached = bfs(back, nodes.select(F.col("name").alias("search"), F.col("name").alias("node")))
+    reached = reached_from(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes)
     sums = reached.where("depth > 0").groupBy(F.col("search").alias("name")).agg(F.count(F.lit(1)).alias("transitive"), F.sum((F.col("depth") == 1).cast("int")).alias("direct"))
     n = nodes.count()
     share = F.coalesce("transitive", F.lit(0)) / F.lit(n - 1) if n > 1 else F.lit(0.0)

@@ -97,3 +97,11 @@ def test_relative_imports_and_escapes(spark):
 def test_terminal_output():
     assert one_line("a\n  b\x1b[2J‮") == "a b\\u{1b}[2J\\u{202e}"
     assert exit_code([]) == 0 and exit_code([{"verdict": "clean"}, None]) == 3
+
+
+def test_blast_radius_of_a_long_chain(spark):
+    n = 70
+    nodes = spark.createDataFrame([(f"p{k}",) for k in range(n)], "name string")
+    edges = spark.createDataFrame([(f"p{k + 1}", f"p{k}") for k in range(n - 1)], "src string, dst string")
+    got = {r["name"]: (r["direct"], r["transitive"], r["share"]) for r in deps.blast_radius(nodes, edges).collect()}
+    assert got == {f"p{k}": (int(k < n - 1), n - 1 - k, (n - 1 - k) / (n - 1)) for k in range(n)}
