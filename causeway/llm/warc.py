@@ -10,8 +10,9 @@ Reading. Every file is one task's work: records are cut by their Content-Length.
 are taken from the stored bytes; bodies do not travel further unless asked for. Records that
 name one another in WARC-Concurrent-To join into one nested row for each capture.
 
-Defined results: a null html counts as an empty payload, a null url as no target. Rows that share id and payload are
-repeats of one capture and come back as often as they were written, all of the same kind. A null page id is written as such, and is
+Defined results: a null html counts as an empty payload, a null url as no target. Rows that share id, payload and url are
+repeats of one capture and come back as often as they were written, all of the same kind; where one of these differs, also among null ids,
+they are captures of their own. A null page id is written as such, and is
 never the smallest unless all are null. An empty table gives an empty result. Extra columns are not stored.
 """
 
@@ -49,15 +50,19 @@ def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Pages with payload, its size and digest, and the id of the response that they revisit, if any."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "sha1": F.sha1(F.col("payload").cast("binary"))})
-    firsts = rows.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    firsts = firsts.where("copies > 1").drop("copies")
+    rows = rows.withColumn("target", F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"))
+    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "sha1": F.sha1(F.col("payload").cast("binary")), "site": F.coalesce(F.sha1(F.col("target").cast("binary")), F.lit("none"))})
+    # a null id sorts last
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").alias("page"), "site")
+    firsts = rows.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies"))
+    firsts = firsts.where("copies > 1").select("sha1", "size", F.col("least.page").alias("first"), F.col("least.site").alias("first_site"))
     out = rows.join(firsts, ["sha1", "size"], "left")
     return out.withColumn("refers_to", F.when(F.col("first") != F.coalesce("page_id", F.col("first") + 1), F.col("first"))).drop("first")
 
 
-def _id(kind: str, page: Column) -> Column:
-    return F.concat(F.lit("<urn:x-capture:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(f":{kind}>"))
+def _id(kind: str, page: Column, site: Column) -> Column:
+    """Rows have one id only if page id, payload and target are the same."""
+    return F.concat(F.lit("<urn:x-capture:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.col("sha1"), F.lit(":"), site, F.lit(f":{kind}>"))
 
 
 def _record(kind: Column, headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -71,10 +76,10 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """One text for each record; the separator of records, two line ends, is the writer's."""
     p = decided(pages, least_bytes)
     page, again = F.col("page_id"), F.col("refers_to").isNotNull()
-    target = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
+    target, site = F.col("target"), F.col("site")
     digest = F.concat(F.lit("sha1:"), base32(F.col("sha1")))
-    common = lambda kind: [("WARC-Record-ID", _id(kind, page)), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", target)]
-    joined = ("WARC-Concurrent-To", _id("response", page))
+    common = lambda kind: [("WARC-Record-ID", _id(kind, page, site)), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", target)]
+    joined = ("WARC-Concurrent-To", _id("response", page, site))
     http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.col("size").cast("string"), F.lit(CRLF + CRLF))
     request = _record(F.lit("request"), [*common("request"), joined, ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), F.coalesce(target, F.lit("/")), F.lit(" HTTP/1.1" + CRLF + CRLF)))
     response = _record(
@@ -84,7 +89,7 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
             ("Content-Type", F.lit("application/http; msgtype=response")),
             ("WARC-Payload-Digest", digest),
             ("WARC-Profile", F.when(again, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            ("WARC-Refers-To", F.when(again, _id("response", F.col("refers_to")))),
+            ("WARC-Refers-To", F.when(again, _id("response", F.col("refers_to"), F.col("first_site")))),
         ],
         F.concat(http, F.when(again, "").otherwise(F.col("payload"))),
     )

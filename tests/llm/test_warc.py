@@ -39,3 +39,11 @@ def test_least_bytes_repeats_and_empty(spark):
     assert got == [("1", "response", None), ("1", "response", None), ("2", "revisit", 1), ("None", "revisit", 1)]
     assert {r["record_type"] for r in warc.round_trip(df, least_bytes=4).collect()} == {"response"}
     assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_one_id_with_several_payloads(spark):
+    pages = [(None, "u", "a"), (None, "u", "bb"), (None, None, "bb"), (None, "", None), (4, "u", "ccc"), (4, "u", "dddd"), (4, "v", "dddd"), (4, "v", "dddd"), (6, "w", "dddd")]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    want = [(p, u, base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), len(h or "")) for p, u, h in pages]
+    assert sorted(((r["page_id"], r["url"], r["payload_digest"], r["payload_bytes"]) for r in got), key=str) == sorted(want, key=str)
+    assert [(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"] == [(6, 4)]
