@@ -4,8 +4,8 @@ Every task cuts its documents into shards of bounded size and builds a suffix ar
 shard's words. Words that no benchmark item has can be part of no match; they separate runs, and
 runs shorter than the shortest window are left out of the array, which loses no match. Every
 suffix of every test item is looked up by binary search; all suffixes of the array that share its
-first ``window`` words are occurrences. Occurrences on one diagonal join into longest verbatim
-matches. No row is exchanged between tasks.
+first ``window`` words are occurrences. Overlapping or adjacent occurrences, also of different items, join into
+spans; longest verbatim matches of single items are not found. No row is exchanged between tasks.
 
 The benchmark travels to the tasks in blocks of at most ``BLOCK_BYTES`` of text, each one pass in the
 same stage, so that its size is no bound on the memory of a task.
