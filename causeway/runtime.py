@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = sc._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="causeway-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         base = "file://" + local
@@ -89,5 +91,11 @@ def serve(name: str, clear=None) -> None:
         _held.update(name=name, clear=clear)
 
 
+def unused_name(df: DataFrame, stem: str) -> str:
+    """``stem``, or what follows it, so that no column of ``df`` has the name in any spelling of case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (stem, *(f"{stem}_{k}" for k in range(len(taken) + 1))) if n not in taken)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
