@@ -1,24 +1,30 @@
-"""N-gram Jaccard join: T-occurrence search over inverted lists, in the way of DivideSkip.
+"""N-gram Jaccard join: T-occurrence search over inverted lists, by DivideSkip.
 
 Two sets of shingles link if their intersection is at least ``num / den`` of their union. A set of n
 shingles then shares at least T = ceil(n * num / den) with any partner. As in DivideSkip, its
-inverted lists divide into the T - SHARED longest ones and the rest. The rest are merged: their entries
-meet in token order, and a document stays a candidate if it occurs SHARED times (or as often as the
-pair can need, if that is less). The long lists are never read through: a candidate is looked up
-in them by binary search, which is done where the candidate's sorted shingles are.
+inverted lists divide into the T - SHARED longest ones and the rest. The rest are merged: a query document gets, from each
+of its short lists, the sorted ids of the list, and a heap merges them; an id that comes up SHARED times (or as often as the
+pair can need, if that is less) is a candidate. The long lists are never read through: whether a candidate is in
+them is found by binary search, of the one document's tokens in the other's sorted tokens, which also counts the whole intersection.
 
 Which lists count as long must be the same for all documents. Tokens that a first pass finds in many
 documents come last, all others go by their hash, so the choice costs one pass and no global sort. A poor choice
 would cost time, not results.
 
 Equal sets are one node. Between merging and probing, bit sketches of the sets drop pairs that
-cannot overlap enough: the number of differing bits is a lower bound of the number of differing shingles. Lists
-of up to SHORT documents give their pairs directly. Longer ones first give only a chain of links to their
-smallest sets; what that connects is one component, and only pairs across components are then
-compared, sketch against sketch, inside the task that holds a block of the list, so that neither links nor
-failures within a large group become rows. In the first rounds each document gives its closest partner
-across components only, which joins most of them; the last round gives every pair that is left. Lists longer than
-BLOCK are split into pairs of blocks.
+cannot overlap enough: the number of differing bits is a lower bound of the number of differing shingles. Of what is
+left, each document is probed with one other first, then only pairs across the components that this gives.
+
+A list of more than SHORT documents belongs to a group of like texts, whose pairs would grow as its square. It gives only links to
+its smallest sets, a block of BLOCK entries at a time, and links among the blocks. What that connects
+is one component. Lists that still hold several components are gone through twice: entries outside a list's
+main component are compared, sketch against sketch, with all its blocks; first each document gives its closest partner only, then
+every pair across components is given. So neither links nor failures within a large group become rows.
+Tokens that the first pass finds in more documents than a block are salted, so that no task gets a whole list of them.
+
+The plan is the same at every size: joins whose sides grow with the input are exchanged and merged. What is sent to all tasks is bounded: frequent
+tokens (HOT_KEPT), and bits of hashed ids (BITS) by which rows that cannot be meant stay where they are; with more
+ids than bits these let everything pass, and the join behind them decides.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing. Texts of fewer words than a
 shingle have one shingle, all their words. Rows of one id are one node: it has the links of all its rows. A
@@ -28,28 +34,29 @@ null id has a null component and links with nothing. An empty table gives an emp
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.bounded import most_frequent
 from causeway.llm.components import joined
-from causeway.runtime import serve, ship, stored
+from causeway.runtime import serve, ship, stored, unused_name
 
-#: Occurrences in merged lists that a candidate needs; pairs from lists of so many documents directly; documents
-#: of a block of a longer list.
-SHARED, SHORT, BLOCK = 3, 64, 8192
+#: Occurrences in merged lists that a candidate needs; documents of a list that is merged; entries of a block of a longer list.
+SHARED, SHORT, BLOCK = 3, 64, 1024
 #: A token is frequent if a task finds it in HOT_LOCAL sets of a shard and all tasks together in HOT_TOTAL; at most
-#: HOT_KEPT tokens (8 bytes each) are sent to the tasks, which bounds a broadcast and changes no result.
+#: HOT_KEPT tokens (12 bytes each) are sent to the tasks, which bounds a broadcast and changes no result.
 HOT_LOCAL, HOT_TOTAL, HOT_KEPT = 3, 64, 200_000
 SHARD_BYTES = 4 << 20
-#: Up to so many ids (8 bytes each) are broadcast to find their texts; more go by a shuffled join.
-BROADCAST_IDS = 1_000_000
+#: Bits for hashed ids, sent to all tasks as at most BITS / 64 rows.
+BITS = 1 << 25
 
 _LOW, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -133,10 +140,13 @@ def _frequent(size: int):
     return run
 
 
-def frequent_tokens(docs: DataFrame, sim: Similarity) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of many documents, sorted, and into how many lists each is to be split."""
     sums = docs.mapInArrow(_frequent(sim.words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOTAL)
-    rows = most_frequent(stored(sums, "frequent"), "n", HOT_KEPT).select("token").collect()
-    return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
+    rows = most_frequent(stored(sums, "frequent"), "n", HOT_KEPT).collect()
+    tokens, n = (np.array([r[c] for r in rows], np.int64) for c in ("token", "n"))
+    order = np.argsort(tokens.view(np.uint64))
+    return tokens[order].view(np.uint64), np.minimum(-(-n[order] // BLOCK), 1 << 15).astype(np.int32)
 
 
 SETS = "doc_id long, n int, sig binary, short binary, sketch binary"
@@ -144,7 +154,7 @@ SETS = "doc_id long, n int, sig binary, short binary, sketch binary"
 
 def _described(sim: Similarity, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = hot.value
+        often, _ = hot.value
         for ids, texts in _shards(batches):
             cols: list[list] = [[], [], [], []]
             for t in texts:
@@ -166,103 +176,177 @@ def _described(sim: Similarity, hot):
     return run
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each entry of a merged list."""
-    for b in batches:
-        short = [np.frombuffer(x, np.int64) for x in b.column("short").to_pylist()]
-        sizes = np.array([len(x) for x in short], np.int64)
-        if not sizes.sum():
-            continue
-        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        each = lambda c: np.repeat(b.column(c).to_numpy(zero_copy_only=False), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(short)), pa.array(each("n"), pa.int32()), pa.array(each("doc_id"), pa.int64()), pa.array(place, pa.int32())], ["token", "n", "doc_id", "place"])
+ENTRIES = "token long, salt int, n int, doc_id long, place int"
 
 
-CANDIDATES = "a long, b long, n int, m int, times int, token long, block int, blocks int, ids array<long>, sizes array<int>"
+def _entries(hot):
+    """A row for each entry of a merged list; entries of a token of very many documents are dealt over several lists."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, salts = hot.value
+        wide = salts > 1
+        often, salts = often[wide], salts[wide]
+        for b in batches:
+            short = [np.frombuffer(x, np.uint64) for x in b.column("short").to_pylist()]
+            sizes = np.array([len(x) for x in short], np.int64)
+            if not sizes.sum():
+                continue
+            tokens = np.concatenate(short)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n, ids = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("n", "doc_id"))
+            salt = np.zeros(len(tokens), np.int32)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
+                hit = often[at] == tokens
+                # never 0: a list that is not whole is no short list
+                salt[hit] = 1 + _mixed(ids[hit].view(np.uint64)) % salts[at[hit]].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(salt), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(place, pa.int32())], [x.split()[0] for x in ENTRIES.split(", ")])
 
-def _possible(n, m, i, j, sim: Similarity):
-    """Whether sets of n and m with a common token in places i and j can share enough: by size, and by place."""
-    fit = np.minimum(n, m) * sim.den >= np.maximum(n, m) * sim.num
-    return fit & (np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1 >= sim.needed(n, m))
+    return run
 
 
-class _Pairs:
-    """Occurrences of pairs, summed within a task before they leave it."""
+#: Lists of queries: q and the ids of a short list. Blocks of long lists: token, block, ids, sizes. Links: a and b.
+MERGED = "q long, n int, token long, block int, ids array<long>, sizes array<int>, a long, b long"
 
-    def __init__(self) -> None:
-        self.held: list[np.ndarray] = []
-        self.size = 0
 
-    def add(self, a, b, n, m, times) -> None:
-        swap = a > b
-        self.held.append(np.stack([np.where(swap, b, a), np.where(swap, a, b), np.where(swap, m, n), np.where(swap, n, m), times], 1))
-        self.size += len(a)
+def _filled(**columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    size = len(next(iter(columns.values())))
+    names = [x.split() for x in MERGED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[k]) if c in columns and not isinstance(columns[c], pa.Array) else columns.get(c, pa.nulls(size, kinds[k])) for c, k in names], [c for c, _ in names])
 
-    def flush(self) -> pa.RecordBatch | None:
-        if not self.size:
-            return None
-        rows = np.concatenate(self.held)
-        self.held, self.size = [], 0
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
-        times = np.add.reduceat(rows[:, 4], first)
-        rows = rows[first]
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), *(pa.array(c, pa.int32()) for c in (rows[:, 2], rows[:, 3], np.minimum(times, 1 << 20)))], ["a", "b", "n", "m", "times"])
 
+def _possible(n, m, i, j, sim: Similarity):
+    """Whether sets of n and m with a common token in places i and j can share enough: by size, and by place."""
+    fit = np.minimum(n, m) * sim.den >= np.maximum(n, m) * sim.num
+    return fit & (np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1 >= sim.needed(n, m))
 
-def _with_nulls(b: pa.RecordBatch, fields: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
-    names = [x.split() for x in fields.split(", ")]
-    return pa.RecordBatch.from_arrays([b.column(n) if n in b.schema.names else pa.nulls(b.num_rows, kinds[k]) for n, k in names], [n for n, _ in names])
 
+class _Lists:
+    """Entries in the order of token, salt, size and id, read as lists. No more than a block of a long list is held."""
 
-def _merged(sim: Similarity):
-    """Entries in token order to candidates: pairs of short lists, chains and blocks of long ones."""
+    def __init__(self, sim: Similarity) -> None:
+        self.sim = sim
+        self.rest = np.zeros((0, 5), np.int64)
+        self.open: tuple[int, int] | None = None  # the long list that goes on
+        self.centre: np.ndarray | None = None
+        self.block = 0
 
-    def lists(e: np.ndarray, pairs: _Pairs) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.concatenate([[True], e[1:, 0] != e[:-1, 0]]))
+    def feed(self, e: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
+        e = np.concatenate([self.rest, e])
+        if not len(e):
+            return
+        new = np.concatenate([[True], (e[1:, :2] != e[:-1, :2]).any(1)])
+        start = np.flatnonzero(new)
         size = np.diff(np.concatenate([start, [len(e)]]))
-        for length in np.unique(size[(size >= 2) & (size <= SHORT)]).tolist():
+        whole = np.ones(len(start), bool)
+        if not last:
+            whole[-1] = False
+        going = np.array([tuple(e[k, :2]) == self.open for k in start[:1].tolist()] + [False] * (len(start) - 1))
+        short = whole & ~going & (e[start, 1] == 0) & (size <= SHORT)
+        yield from self.short(e, start[short], size[short])
+        for k in np.flatnonzero(~short).tolist():
+            rows = e[start[k] : start[k] + size[k]]
+            if whole[k]:
+                yield from self.long(rows, True)
+                rows = rows[:0]
+            else:
+                while len(rows) >= max(BLOCK, SHORT + 1):
+                    yield from self.long(rows[:BLOCK], False)
+                    rows = rows[BLOCK:]
+            self.rest = rows
+        if whole[-1]:
+            self.rest = e[:0]
+
+    def short(self, e: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The list of each of its documents, of those that follow in the order of sizes and ids."""
+        for length in np.unique(size[size >= 2]).tolist():
             at = start[size == length]
             x, y = np.triu_indices(length, 1)
-            step = max(1, 2_000_000 // len(x))
+            step = max(1, 500_000 // len(x))
             for k in range(0, len(at), step):
-                p, q = e[(at[k : k + step, None] + x).ravel()], e[(at[k : k + step, None] + y).ravel()]
-                good = (p[:, 2] != q[:, 2]) & _possible(p[:, 1], q[:, 1], p[:, 3], q[:, 3], sim)
-                p, q = p[good], q[good]
-                pairs.add(p[:, 2], q[:, 2], p[:, 1], q[:, 1], np.ones(len(p), np.int64))
-        for lo, n in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist()):
-            rows = e[lo : lo + n]
-            centre = np.zeros(n, np.int64)
-            at = 0
-            for k in np.flatnonzero(np.concatenate([[False], rows[1:, 1] != rows[:-1, 1]])).tolist():
-                if rows[at, 1] * sim.den < rows[k, 1] * sim.num:  # too large for the centre so far
-                    centre[at:k] = at
-                    at = k
-            centre[at:] = at
-            c = rows[centre]
-            far = c[:, 2] != rows[:, 2]
-            pairs.add(c[far, 2], rows[far, 2], c[far, 1], rows[far, 1], np.full(far.sum(), 1 << 20))
-            blocks = -(-n // BLOCK)
-            for k in range(blocks):
-                part = rows[k * BLOCK : (k + 1) * BLOCK]
-                one = pa.RecordBatch.from_pydict({"token": [int(rows[0, 0])], "block": pa.array([k], pa.int32()), "blocks": pa.array([blocks], pa.int32()), "ids": pa.array([part[:, 2].tolist()], pa.list_(pa.int64())), "sizes": pa.array([part[:, 1].tolist()], pa.list_(pa.int32()))})
-                yield _with_nulls(one, CANDIDATES)
+                i, j = (at[k : k + step, None] + x).ravel(), (at[k : k + step, None] + y).ravel()
+                p, q = e[i], e[j]
+                good = np.flatnonzero((p[:, 3] != q[:, 3]) & _possible(p[:, 2], q[:, 2], p[:, 4], q[:, 4], self.sim))
+                if not len(good):
+                    continue
+                i, j = i[good], j[good]
+                order = np.lexsort((e[j, 3], i))
+                i, j = i[order], j[order]
+                first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                ends = pa.array(np.concatenate([first, [len(i)]]), pa.int32())
+                yield _filled(q=e[i[first], 3], n=e[i[first], 2], ids=pa.ListArray.from_arrays(ends, pa.array(e[j, 3])), sizes=pa.ListArray.from_arrays(ends, pa.array(e[j, 2], pa.int32())))
+
+    def long(self, rows: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+        """Blocks of a long list, and a link of each of its documents with the smallest set that can be like it."""
+        key = tuple(rows[0, :2].tolist())
+        if self.open != key:
+            self.open, self.centre, self.block = key, rows[0], 0
+        for k in range(0, len(rows), BLOCK):
+            part, centres = rows[k : k + BLOCK], []
+            for r in part[:, [2, 3]].tolist():
+                if self.centre[2] * self.sim.den < r[0] * self.sim.num:
+                    self.centre = part[len(centres)]
+                centres.append(self.centre[3])
+            a, b = np.array(centres), part[:, 3]
+            far = a != b
+            if far.any():
+                yield _filled(a=np.minimum(a, b)[far], b=np.maximum(a, b)[far])
+            one = lambda v, kind: pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(v, kind))
+            yield _filled(token=[key[0]], block=[key[1] << 15 | self.block], ids=one(b, pa.int64()), sizes=one(part[:, 2], pa.int32()))
+            self.block += 1
+        if last:
+            self.open = None
+
 
+def _merged(sim: Similarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, rest = _Pairs(), np.zeros((0, 4), np.int64)
+        lists = _Lists(sim)
         for b in batches:
-            e = np.concatenate([rest, np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("token", "n", "doc_id", "place")], 1)])
-            last = int(np.searchsorted(e[:, 0], e[-1, 0])) if len(e) else 0  # the list that may go on
-            rest = e[last:]
-            yield from lists(e[:last], pairs) if last else ()
-            if pairs.size > 1_000_000 and (out := pairs.flush()):
-                yield _with_nulls(out, CANDIDATES)
-        if len(rest):
-            yield from lists(rest, pairs)
-        if out := pairs.flush():
-            yield _with_nulls(out, CANDIDATES)
+            yield from lists.feed(np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1))
+        yield from lists.feed(np.zeros((0, 5), np.int64), True)
+
+    return run
+
+
+def _pairs_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _heap_merged(sim: Similarity):
+    """Short lists in the order of queries to candidates: ids that come up often enough in a query's lists."""
+
+    def candidates(q: int, n: int, lists: list[list[int]], sizes: list[list[int]]) -> Iterator[tuple[int, int]]:
+        least = min(SHARED, sim.needed(n, n))
+        if len(lists) < least:
+            return
+        of: dict[int, int] = {}
+        if n < 4 * SHARED:  # a pair may need less
+            for ids, ms in zip(lists, sizes):
+                for i, m in zip(ids, ms):
+                    of[i] = min(m, of.get(i, m))
+        for i, run in groupby(heapq.merge(*lists)):
+            if sum(1 for _ in run) >= min(SHARED, sim.needed(n, of[i]) if of else SHARED):
+                yield (q, i) if q < i else (i, q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lists, sizes, out = None, [], [], []
+        for b in batches:
+            for q, n, ids, ms in zip(*(c.to_pylist() for c in b.columns)):
+                if (q, n) != key:
+                    if key:
+                        out += candidates(*key, lists, sizes)
+                    key, lists, sizes = (q, n), [], []
+                lists.append(ids)
+                sizes.append(ms)
+            if len(out) > 100_000:
+                yield _pairs_batch(out)
+                out = []
+        if key:
+            out += candidates(*key, lists, sizes)
+        if out:
+            yield _pairs_batch(out)
 
     return run
 
@@ -272,7 +356,7 @@ def _close(sim: Similarity):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
             most = n + m - 2 * sim.needed(n, m)
             keep = np.zeros(b.num_rows, bool)
             for k, (x, y) in enumerate(zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())):
@@ -300,6 +384,9 @@ def _probed(sim: Similarity):
             keep = []
             for x, y in zip(b.column("ta"), b.column("tb")):
                 u, v = sorted((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)), key=len)
+                if not len(u):
+                    keep.append(False)
+                    continue
                 at = np.minimum(np.searchsorted(v, u), len(v) - 1)
                 both = int((v[at] == u).sum())
                 keep.append(sim.den * both >= sim.num * (len(u) + len(v) - both))
@@ -308,55 +395,57 @@ def _probed(sim: Similarity):
     return run
 
 
-def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of the documents of ``ids`` (distinct doc_id); few ids go to where the rows are."""
-    ids = stored(ids, "ids")
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+def _with(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the input."""
+    return left.join(right.hint("merge"), key, how)
+
 
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false where the doc_id is not among ``ids``. Bits of hashed ids go to all tasks."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {BITS}) % 64 as int))")
+    bits = stored(ids.select("doc_id").groupBy(F.shiftright(spot, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")), "bits")
+    out = rows.withColumn("_word", F.shiftright(spot, 6)).join(F.broadcast(bits), "_word", "left")
+    return out.withColumn("maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
 
-def _tokens(docs: DataFrame, ids: DataFrame, sim: Similarity) -> DataFrame:
-    """Sorted sets of the documents of ``ids``."""
-    return stored(_of(docs, ids).mapInArrow(_sets_of(sim.words), "doc_id long, tokens binary"), "tokens")
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+
+
+def _both(pairs: DataFrame, rows: DataFrame, **columns: str) -> DataFrame:
+    """``pairs`` with columns of ``rows`` for each end, under the given name and the end's."""
+    for end in "ab":
+        pairs = _with(pairs, rows.select(F.col("doc_id").alias(end), *[F.col(c).alias(name + end) for c, name in columns.items()]), end)
+    return pairs
 
 
 def _exact(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
     """The pairs that link."""
-    found = _tokens(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), sim)
-    both = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
+    found = _marked(docs, _ends(pairs)).where("maybe").drop("maybe").mapInArrow(_sets_of(sim.words), "doc_id long, tokens binary")
+    both = _both(pairs, stored(found, "tokens"), tokens="t")
     return stored(both.mapInArrow(_probed(sim), "a long, b long").distinct(), "links")
 
 
-def _link(comps: DataFrame, pairs: DataFrame, sketches: DataFrame, docs: DataFrame, sim: Similarity) -> tuple[DataFrame, bool]:
-    """Components (node, comp) after candidate pairs (a, b, n, m), and whether any pair linked.
+def _link(pairs: DataFrame, sets: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """Components (node, comp) that candidate pairs (a, b) give.
 
     Sketches go first. Of what they leave, each document is compared with one other; then only pairs across the
     components that this gives, so that a group of copies costs as many comparisons as it has members.
     """
-    pairs = stored(pairs, "pairs")
-    sk = stored(_of(sketches.select("doc_id", "sketch"), pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "sketches")
-    both = pairs.join(sk.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-    near = stored(both.mapInArrow(_close(sim), "a long, b long").distinct(), "near")
+    pairs = stored(pairs.distinct(), "pairs")
+    sketches = _marked(sets.select("doc_id", "n", "sketch"), _ends(pairs)).where("maybe").drop("maybe")
+    near = stored(_both(pairs, sketches, n="n", sketch="s").mapInArrow(_close(sim), "a long, b long").distinct(), "near")
     first = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = _exact(first, docs, sim)
-    found = not links.isEmpty()
-    comps = joined(comps, links) if found else comps
+    comps = joined(docs.sparkSession.createDataFrame([], "node long, comp long"), _exact(first, docs, sim))
     of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}"))
     rest = near.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
     rest = stored(rest, "rest")
-    if not rest.isEmpty():
-        more = _exact(rest, docs, sim)
-        if not more.isEmpty():
-            return joined(comps, more), True
-    return comps, found
-
-
-def _enough(sim: Similarity) -> Column:
-    total = (F.col("n") + F.col("m")) * F.lit(sim.num)
-    return F.col("times") >= F.least(F.lit(SHARED), F.ceil(total / F.lit(sim.num + sim.den)))
+    return comps if rest.isEmpty() else joined(comps, _exact(rest, docs, sim))
 
 
 def _across(sim: Similarity, nearest: bool):
-    """Pairs of different components within a block of a list, or between two, that sketches do not rule out.
+    """Pairs of different components between probes and a block of a list that sketches do not rule out.
 
     ``nearest``: of each document only the pair with the least share of differing bits.
     """
@@ -367,81 +456,82 @@ def _across(sim: Similarity, nearest: bool):
         first = order[np.concatenate([[True], ends[order][1:] != ends[order][:-1]])]
         return np.unique(first % len(r))
 
-    def compare(g: list[tuple], pairs: _Pairs, diagonal: bool) -> None:
-        if len({r[3] for r in g}) < 2:
-            return
-        ids, n, comp, side = (np.array([r[k] for r in g], np.int64) for k in range(1, 5))
-        for width in sorted({len(r[5]) for r in g}):
+    def compare(rows: list[tuple]) -> set[tuple[int, int]]:
+        """Rows: probe, id, size, component, sketch."""
+        found: set[tuple[int, int]] = set()
+        probe, ids, n, comp = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        wide = np.array([len(r[4]) for r in rows])
+        for width in np.unique(wide).tolist():
             # one side's sketches have this width, the other's at least as much
-            own = [k for k, r in enumerate(g) if len(r[5]) == width]
-            other = [k for k, r in enumerate(g) if len(r[5]) >= width]
-            u = np.stack([np.frombuffer(g[k][5], np.uint8) for k in own]).view(np.uint64)
-            v = np.stack([folded(np.frombuffer(g[k][5], np.uint8), width) for k in other]).view(np.uint64)
-            own, other = np.array(own), np.array(other)
-            for k in range(0, len(own), max(1, 4_000_000 // (len(other) * u.shape[1] + 1))):
-                x = own[k : k + max(1, 4_000_000 // (len(other) * u.shape[1] + 1))]
-                fit = comp[x][:, None] != comp[other][None]
-                fit &= np.minimum(n[x][:, None], n[other][None]) * sim.den >= np.maximum(n[x][:, None], n[other][None]) * sim.num
-                fit &= True if diagonal else side[x][:, None] != side[other][None]
-                fit &= (n[other][None] > n[x][:, None]) | (ids[other][None] > ids[x][:, None]) | np.array([len(g[o][5]) > width for o in other])[None]
-                r, c = np.nonzero(fit)
-                if not len(r):
+            for left, right in (((probe == 1) & (wide == width), (probe == 0) & (wide >= width)), ((probe == 1) & (wide > width), (probe == 0) & (wide == width))):
+                x, y = np.flatnonzero(left), np.flatnonzero(right)
+                if not len(x) or not len(y):
                     continue
-                most = n[x[r]] + n[other[c]] - 2 * sim.needed(n[x[r]], n[other[c]])
-                diff = np.zeros(len(r), np.int64)
-                for w in range(u.shape[1]):
-                    diff += np.bitwise_count(u[k + r, w] ^ v[c, w])
-                good = np.flatnonzero(diff <= most)
-                if nearest and len(good):
-                    good = good[closest(x[r[good]], other[c[good]], diff[good] / (n[x[r[good]]] + n[other[c[good]]]))]
-                r, c = x[r[good]], other[c[good]]
-                pairs.add(ids[r], ids[c], n[r], n[c], np.ones(len(r), np.int64))
+                u, v = (np.stack([folded(np.frombuffer(rows[k][4], np.uint8), width) for k in z]).view(np.uint64) for z in (x, y))
+                step = max(1, 4_000_000 // (len(y) * u.shape[1] + 1))
+                for k in range(0, len(x), step):
+                    xs = x[k : k + step]
+                    fit = comp[xs][:, None] != comp[y][None]
+                    fit &= np.minimum(n[xs][:, None], n[y][None]) * sim.den >= np.maximum(n[xs][:, None], n[y][None]) * sim.num
+                    r, c = np.nonzero(fit)
+                    if not len(r):
+                        continue
+                    most = n[xs[r]] + n[y[c]] - 2 * sim.needed(n[xs[r]], n[y[c]])
+                    diff = np.zeros(len(r), np.int64)
+                    for w in range(u.shape[1]):
+                        diff += np.bitwise_count(u[k + r, w] ^ v[c, w])
+                    good = np.flatnonzero(diff <= most)
+                    if nearest and len(good):
+                        good = good[closest(xs[r[good]], y[c[good]], diff[good] / (n[xs[r[good]]] + n[y[c[good]]]))]
+                    found.update((min(p), max(p)) for p in zip(ids[xs[r[good]]].tolist(), ids[y[c[good]]].tolist()))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, g, key = _Pairs(), [], None
+        found, rows, key = set(), [], None
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("token", "left", "right", "doc_id", "n", "comp", "block", "sketch")]
-            for token, left, right, *row in zip(*cols):
-                if (token, left, right) != key:
-                    if g:
-                        compare(g, pairs, key[1] == key[2])
-                    g, key = [], (token, left, right)
-                g.append((token, *row))
-            if pairs.size > 1_000_000 and (out := pairs.flush()):
-                yield out
-        if g:
-            compare(g, pairs, key[1] == key[2])
-        if out := pairs.flush():
-            yield out
+            cols = [b.column(c).to_pylist() for c in ("token", "block", "team", "probe", "doc_id", "n", "comp", "sketch")]
+            for *own, probe, doc_id, n, comp, sk in zip(*cols):
+                if own != key:
+                    if rows:
+                        found |= compare(rows)
+                    rows, key = [], own
+                rows.append((probe, doc_id, n, comp, sk))
+            if len(found) > 100_000:
+                yield _pairs_batch(list(found))
+                found = set()
+        if rows:
+            found |= compare(rows)
+        if found:
+            yield _pairs_batch(list(found))
 
     return run
 
 
-def _long_lists(long: DataFrame, comps: DataFrame, sets: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """``comps`` after the links across components that the blocks of long lists have."""
-    entries = long.select("token", "block", "blocks", F.explode(F.arrays_zip("ids", "sizes")).alias("x"))
-    entries = entries.select("token", "block", "blocks", F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n"))
-    # sketches of these documents are gathered once
-    ids = stored(entries.select("doc_id").distinct(), "long")
-    sketches = stored(sets.select("doc_id", "sketch").join(ids, "doc_id", "left_semi"), "sketches")
-    nearest = True
-    while True:
+def _long_lists(blocks: DataFrame, comps: DataFrame, sets: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """``comps`` after the links across components that the blocks of long lists have.
+
+    Of a list only the entries outside its largest component are probes; they meet every block, in teams of BLOCK at most on average.
+    """
+    entries = blocks.select("token", "block", F.explode(F.arrays_zip("ids", "sizes")).alias("x")).select("token", "block", F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n"))
+    for nearest in (True, False):
         rows = stored(entries.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "entries")
-        # lists that are one component by now are done
-        open_ = stored(rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token"), "open")
+        shares = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("share"))
+        lists = shares.groupBy("token").agg(F.max(F.struct("share", "comp")).alias("main"), F.sum("share").alias("all"))
+        open_ = lists.where("main.share < all").select("token", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.share")) / F.lit(BLOCK)).cast("int").alias("teams"))
+        open_ = stored(open_, "open")
         if open_.isEmpty():
             return comps
-        rows = rows.join(open_, "token", "left_semi")
-        entries = rows.drop("comp")
-        rows = rows.join(sketches, "doc_id")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        rows = rows.withColumn("other", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-        rows = rows.select("token", "left", "right", "doc_id", "n", "comp", "block", "sketch").repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
-        pairs = rows.mapInArrow(_across(sim, nearest), "a long, b long, n int, m int, times int")
-        comps, more = _link(comps, pairs.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m")), sketches, docs, sim)
-        if not nearest:
-            return comps
-        nearest = more
+        rows = _with(rows, open_, "token")
+        probes = rows.where("comp <> main").withColumn("team", F.pmod(F.xxhash64("doc_id"), F.col("teams")).cast("int"))
+        # a probe goes to every block of its list, an entry of a block to every team
+        probes = _with(probes.drop("block"), rows.select("token", "block").distinct(), "token").withColumn("probe", F.lit(1))
+        members = rows.withColumns({"team": F.explode(F.sequence(F.lit(0), F.col("teams") - 1)), "probe": F.lit(0)})
+        meet = probes.select(*(cols := ("token", "block", "team", "probe", "doc_id", "n", "comp"))).union(members.select(*cols))
+        sketches = _marked(sets.select("doc_id", "sketch"), rows.select("doc_id")).where("maybe").drop("maybe")
+        meet = _with(meet, sketches, "doc_id").repartition("token", "block", "team").sortWithinPartitions("token", "block", "team")
+        pairs = stored(meet.mapInArrow(_across(sim, nearest), "a long, b long").distinct(), "pairs")
+        comps = joined(comps, _exact(pairs, docs, sim))
+    return comps
 
 
 def classes(documents: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
@@ -455,33 +545,43 @@ def classes(documents: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     small = sets.select("doc_id", "n", "sig")
     named = small.where("doc_id is not null and sig is not null")
     copies = stored(named.groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")).where("first <> other").select("sig", "first"), "copies")
-    later = stored(named.join(copies, "sig").where("doc_id <> first").select("doc_id", "first"), "later")
-
-    gone = later.select("doc_id")
-    gone = F.broadcast(gone) if later.count() <= BROADCAST_IDS else gone
-    nodes = sets.where("doc_id is not null and n > 0").join(gone, "doc_id", "left_anti")
-    entries = nodes.select("doc_id", "n", "short").mapInArrow(_entries, "token long, n int, doc_id long, place int")
-    in_order = entries.repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    cand = stored(in_order.mapInArrow(_merged(sim), CANDIDATES), "candidates")
-
-    pairs = cand.where("a is not null").groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("times").alias("times"))
-    comps = spark.createDataFrame([], "node long, comp long")
-    comps, _ = _link(comps, pairs.where(_enough(sim)), sets, docs, sim)
-    long = cand.where("token is not null")
-    if not long.isEmpty():
-        comps = _long_lists(long, comps, sets, docs, sim)
+    later = stored(_with(named, copies, "sig").where("doc_id <> first").select("doc_id", "sig", "first"), "later")
+
+    sets = _marked(sets.where("doc_id is not null and n > 0"), later)
+    checked = _with(sets.where("maybe"), later, ["doc_id", "sig"], "left_anti")
+    nodes = sets.where("not maybe").unionByName(checked).select("doc_id", "n", "short", "sketch")
+    entries = nodes.select("doc_id", "n", "short").mapInArrow(_entries(hot), ENTRIES)
+    in_order = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "doc_id")
+    merged = stored(in_order.mapInArrow(_merged(sim), MERGED), "merged")
+
+    lists = merged.where("q is not null").select("q", "n", "ids", "sizes").repartition("q").sortWithinPartitions("q", "n")
+    blocks = merged.where("token is not null").select("token", "block", "ids", "sizes")
+    # the first entries of a list's blocks are linked with the smallest of them
+    heads = blocks.select("token", F.col("ids")[0].alias("id"), F.col("sizes")[0].alias("size"))
+    least = heads.groupBy("token").agg(F.min(F.struct("size", "id")).alias("least"), F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
+    bound = heads.join(least, "token").where("least.id <> id").select(F.least("id", "least.id").alias("a"), F.greatest("id", "least.id").alias("b"))
+    pairs = lists.mapInArrow(_heap_merged(sim), "a long, b long").union(merged.where("a is not null").select("a", "b")).union(bound)
+    comps = _link(pairs, sets, docs, sim)
+    if not blocks.isEmpty():
+        comps = _long_lists(blocks, comps, sets, docs, sim)
     comps = joined(comps, later.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    out = small.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    known = small.where("doc_id is not null").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = known.select("doc_id", "n", F.coalesce("comp", "doc_id").alias("component_id"))
+    out = out.union(small.where("doc_id is null").select("doc_id", "n", F.lit(None).cast("long")))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_of_each(documents: DataFrame, sim: Similarity) -> DataFrame:
-    """The rows of ``documents`` whose id is the smallest of its component; one row for each id; rows without id stay."""
+    """The rows of ``documents`` whose id is the smallest of its component; rows without id stay.
+
+    Of rows of one id and one text a single one stays: the first as JSON. Rows of one id with different texts all stay.
+    """
     got = classes(documents, sim)
     drop = stored(got.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    ids = stored(got.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     out = documents.join(drop, "doc_id", "left_anti")
-    ids = got.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if ids.isEmpty():
         return out
-    first = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return first.unionByName(out.where("doc_id is null"))
+    whole, json, kind = F.struct(*[F.col(f"`{c}`") for c in documents.columns]), F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns])), unused_name(out, "kind")
+    one = out.join(ids, "doc_id", "left_semi").groupBy("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias(kind)).agg(F.min_by(whole, json).alias("row")).select("row.*")
+    return out.join(ids, "doc_id", "left_anti").unionByName(one)

@@ -47,10 +47,10 @@ def corpus(r, n):
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_TOTAL", 5)
     r = random.Random(11)
-    for short, block, size, num in ((64, 8192, 4, 85), (4, 16, 4, 85), (6, 8192, 5, 80)):
+    for short, block, size, num in ((64, 1024, 4, 85), (4, 8, 5, 80), (4, 16, 4, 70)):
         monkeypatch.setattr(ngram_join, "SHORT", short)
         monkeypatch.setattr(ngram_join, "BLOCK", block)
-        rows = corpus(r, 211)
+        rows = corpus(r, 160)
         df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(5)
         got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in classes(df, Similarity(size, num, 100)).collect()}
         assert got == brute(rows, size, num, 100)
@@ -64,6 +64,8 @@ def test_repeats_nulls_and_empty(spark):
     kept = one_of_each(df, Similarity(5, 80, 100))
     assert sorted(str(x["doc_id"]) for x in kept.collect()) == ["1", "4", "None", "None"]
     assert kept.columns == df.columns
+    ties = spark.createDataFrame([(1, text, "b"), (1, text, "a"), (1, None, "c"), (2, text + " end", "d"), (7, text, "e"), (7, "other words", "f"), (5, "other words", "g")], "doc_id long, text string, source string")
+    assert sorted(tuple(x)[::2] for x in one_of_each(ties, Similarity(5, 80, 100)).collect()) == [(1, "a"), (1, "c")]
     assert classes(df.limit(0)).count() == 0
 
 
