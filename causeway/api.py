@@ -15,13 +15,13 @@ from causeway import __version__
 from causeway.operators import catalogue, deps
 from causeway.operators.cache import Store, default_location
 from causeway.operators.display import exit_code, text_report
-from causeway.plans.scan import MODES, SCHEMA_VERSION, Options, build_graphs, evaluate, reports
+from causeway.plans.scan import MODES, SCHEMA_VERSION, Options, build_graphs, evaluate, graphs_where, reports
 from causeway.runtime import stored
 from causeway.sources import archives
 
 
 def _graphs(dists: DataFrame) -> DataFrame:
-    return build_graphs(archives.sources_of(dists), archives.meta_of(dists))
+    return graphs_where(archives.python_of(dists))
 
 
 def scan_archives(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:

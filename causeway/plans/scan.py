@@ -1,13 +1,16 @@
 """From source files of many distributions to findings, risks, verdicts and reports, in one plan.
 
 Graphs are built a distribution at a time on Python workers (a distribution is bounded by the limits of
-unpacking); everything after is joins and level-wise searches over all distributions together. Keys carry the
-distribution, so that partitions follow nodes, not distributions.
+unpacking), and searched there: one pass walks back from decoders, opened files and processes, a second one finds phases and all paths
+from sources and roots to sinks. What is looked up by name, shape or rule, and all that makes findings of paths, is
+joins over all distributions together. Keys carry the distribution, so that partitions follow nodes, not distributions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import signal
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import types as T
 from causeway.functions.literals import LITERAL_SHAPES, escape_encoded, sensitive_path, written_location
 from causeway.functions.names import dotted_prefixes
 from causeway.operators import catalogue as cat
-from causeway.operators import cooccurrence, reach, scoring
+from causeway.operators import cooccurrence, scoring, search
 from causeway.operators.evaluate import first_of
 from causeway.operators.walker import Package
 from causeway.runtime import ship, stored
@@ -56,10 +59,31 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def _graph_row(dist: str, files: list, top: list, backend: str | None, backend_path: list) -> dict:
+#: Seconds that the graph of one distribution may take.
+TIME_LIMIT = 300.0
+
+
+@contextmanager
+def time_limit(seconds: float):
+    """Raises TimeoutError in what runs longer."""
+
+    def stop(*_) -> None:
+        raise TimeoutError(f"more than {seconds:g} seconds")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
     try:
-        p = Package([(f["path"], f["text"] or "") for f in files or []], top or [], backend, backend_path or []).build()
-    except (RecursionError, MemoryError, ValueError) as e:  # a hostile input costs its own row
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def _graph_row(dist: str, files: list, top: list, backend: str | None, backend_path: list, limit: float = TIME_LIMIT) -> dict:
+    try:
+        with time_limit(limit):
+            p = Package([(f["path"], f["text"] or "") for f in files or []], top or [], backend, backend_path or []).build()
+    except Exception as e:  # V-26: a hostile input costs its own row
         return {"dist_id": dist, "error": f"{type(e).__name__}: {str(e)[:200]}"}
     named = lambda names, rows: [dict(zip(names.split(), r)) for r in rows]
     calls = {(owner, t): k for owner, ts in p.reached.items() for t, k in sorted(ts, key=lambda x: x[1]) if isinstance(t, int)}
@@ -84,16 +108,23 @@ def _graph_row(dist: str, files: list, top: list, backend: str | None, backend_p
 
 def build_graphs(sources: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """One row for each distribution. ``sources``: dist_id, path, text. ``meta``: dist_id, top_level_modules, build_backend, backend_path."""
-    spark = sources.sparkSession
-    ship(spark)
-    spark_schema = T._parse_datatype_string(GRAPH)
-    schema = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in spark_schema])
     python = sources.where(F.endswith("path", F.lit(".py")))
     one = python.groupBy("dist_id").agg(F.collect_list(F.struct("path", "text")).alias("files"))
     if meta is None:
         one = one.withColumns({"top_level_modules": F.lit(None).cast("array<string>"), "build_backend": F.lit(None).cast("string"), "backend_path": F.lit(None).cast("array<string>")})
     else:
         one = one.join(meta, "dist_id", "left")
+    return graphs_where(one)
+
+
+def graphs_where(one: DataFrame) -> DataFrame:
+    """Graphs of rows that hold all files of a distribution, without an exchange.
+
+    ``one``: dist_id, files (array of structs with path and text), top_level_modules, build_backend, backend_path.
+    """
+    ship(one.sparkSession)
+    spark_schema = T._parse_datatype_string(GRAPH)
+    schema = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in spark_schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,12 +162,80 @@ class Graphs:
         self.first = each("first_argument").select(_key(F.col("formal")).alias("formal"), _key(F.col("first")).alias("first"))
         self.writes = each("file_writes").select("dist_id", _key(F.col("written")).alias("written"), F.when(F.col("go") >= 0, _key(F.col("go"))).alias("go"), F.when(F.col("handle") >= 0, _key(F.col("handle"))).alias("handle"))
         self.stdin = each("stdin").select(_key(F.col("node")).alias("node"), _key(F.col("receiver")).alias("receiver"))
-        number = lambda c: self.graphs.select("dist_id", F.explode(c).alias("n")).select(_key(F.col("n")).alias("node"))
-        self.conditional, self.interpreters = number("conditional"), number("interpreters")
+        self.conditional = self.graphs.select("dist_id", F.explode("conditional").alias("n")).select(_key(F.col("n")).alias("node"))
+        self._origins: DataFrame | None = None
 
-    @property
-    def back(self) -> DataFrame:
-        return self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge")
+    def decoders(self) -> DataFrame:
+        """Results of calls that decode, with the nodes' columns."""
+        patterns = self.nodes.sparkSession.createDataFrame([(d,) for d in cat.DECODERS], "pattern string")
+        return _under(self.nodes.where("kind = 'call_result'"), patterns).dropDuplicates(["node"])
+
+    def origins(self, what: str) -> DataFrame:
+        """What the walks back found: start, end (and node, the same as end)."""
+        if self._origins is None:
+            self._origins = _searched(self.graphs, ["flow_nodes", "flow_edges", "file_writes", "interpreters", "stdin"], {"decoders": self.decoders()}, _origins, "origins")
+        rows = self._origins.where(F.col("what") == what)
+        return rows.select("dist_id", _key(F.col("start")).alias("start"), _key(F.col("end")).alias("end"), _key(F.col("end")).alias("node"))
+
+
+def _searched(graphs: DataFrame, columns: list[str], questions: dict[str, DataFrame], work: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """``work`` on each distribution's row: its graph ``columns``, then a list of numbers for each of ``questions`` (tables with a column node).
+
+    It yields (what, start, end, nodes, edges); numbers become keys again.
+    """
+    rows = graphs.select("dist_id", *columns)
+    for name, asked in questions.items():
+        dist, number = F.expr("left(node, length(node) - 9)"), F.right(F.col("node"), F.lit(8)).cast("int")
+        rows = rows.join(asked.where("node is not null").select(dist.alias("dist_id"), number.alias("n")).groupBy("dist_id").agg(F.collect_set("n").alias(name)), "dist_id", "left")
+    names = [*columns, *questions]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                found = [(row["dist_id"], *x) for x in work(**{c: row[c] or [] for c in names})]
+                for at in range(0, len(found), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[at : at + 10_000]), kinds)], ["dist_id", "what", "start", "end", "nodes", "edges"])
+
+    return stored(rows.mapInArrow(run, "dist_id string, what string, start int, end int, nodes array<int>, edges array<int>"), schema)
+
+
+def _flow(flow_edges: list[dict]) -> list[tuple[int, int, int]]:
+    return [(e["src"], e["dst"], e["edge"]) for e in flow_edges]
+
+
+def _origins(flow_nodes, flow_edges, file_writes, interpreters, stdin, decoders) -> Iterator[tuple]:
+    """M-06, M-18, M-19: decoders of constants; what an opened file's path is made of; inputs of interpreters."""
+    kinds = {n["node"]: n["kind"] for n in flow_nodes}
+    back = search.adjacent((b, a, e) for a, b, e in _flow(flow_edges))
+    for n in sorted(decoders):
+        if search.is_constant(back, kinds, n):
+            yield "decoder", n, n, None, None
+    # the walk back from an opened file does not enter what was written to it
+    bare = search.adjacent((e["dst"], e["src"], e["edge"]) for e in flow_edges if not (e["kind"] == "transform" and e["callee"] == "open" and kinds[e["dst"]] == "definition"))
+    for h in sorted({w["handle"] for w in file_writes if w["handle"] >= 0}):
+        for n in search.walked(bare, h, search.PATH_NODES)[0]:
+            yield "handle", h, n, None, None
+    runs = set(interpreters)
+    for r in sorted({x["receiver"] for x in stdin}):
+        if not runs.isdisjoint(search.walked(back, r)[0]):
+            yield "stdin", r, r, None, None
+
+
+def _reached(flow_edges, call_edges, roots, file_writes, sources, downloads, sinks, owners) -> Iterator[tuple]:
+    """X-03, X-06, X-07, H-03: paths of data, paths through written files, paths of calls, phases (as the end)."""
+    flow = _flow(flow_edges)
+    for s, end, path in search.data_paths(flow, sources, set(sinks)):
+        yield "data", s, end, *path
+    via = [(w["written"], w["go"]) for w in file_writes if w["go"] >= 0]
+    for s, end, path in search.paths_via(flow, downloads, via, set(sinks)):
+        yield "file_write", s, end, *path
+    calls = [(c["src"], c["dst"]) for c in call_edges]
+    for s, end, path in search.data_paths([(a, b, 0) for a, b in calls], [r["symbol"] for r in roots], set(owners)):
+        yield "call", s, end, path[0], []
+    for n, phase in search.phases(calls, [(r["symbol"], r["phase"]) for r in roots]).items():
+        yield "phase", n, phase, None, None
 
 
 def _under(rows: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -166,11 +265,8 @@ def find_sources(g: Graphs) -> DataFrame:
     separators = uses.groupBy(F.col("src").alias("node")).agg(F.min(F.coalesce(method(called).isin(*cat.SEPARATOR_METHODS) & ~path_api(called), F.lit(False))).alias("only")).where("only")
     by_shape = by_shape.join(separators.select("node", F.lit("<literal:home-or-root-path>").alias("pattern")), ["node", "pattern"], "left_anti").select(*by_name.columns)
 
-    decoders = _under(results, spark.createDataFrame([(d,) for d in cat.DECODERS], "pattern string")).dropDuplicates(["node"])
-    walked = reach.bfs(g.back, decoders.select(F.col("node").alias("search"), "node"))
-    leaves = walked.join(fed, "node", "left_anti").join(g.nodes.select("node", "kind"), "node")
-    constant = leaves.groupBy("search").agg(F.min(F.col("kind").isin("literal", "definition") & (F.col("search") != F.col("node"))).alias("constant")).where("constant")
-    decoded = decoders.join(constant.select(F.col("search").alias("node")), "node", "left_semi").select("dist_id", "node", F.col("label").alias("pattern"), "path", "line", "col")
+    decoders = g.decoders()
+    decoded = decoders.join(g.origins("decoder").select("node"), "node", "left_semi").select("dist_id", "node", F.col("label").alias("pattern"), "path", "line", "col")
     escaped = literals.where(escape_encoded(F.col("label"))).select("dist_id", "node", F.lit("<escaped-literal>").alias("pattern"), "path", "line", "col")
     rank = next(n for k, _, n in cat.source_patterns() if k == "decoded_literal")
     by_fold = decoded.union(escaped).withColumns({"source_kind": F.lit("decoded_literal"), "rank": F.lit(rank)}).select(*by_name.columns)
@@ -186,11 +282,7 @@ def find_sinks(g: Graphs) -> DataFrame:
     called = _under(formals, patterns).join(g.first.withColumnRenamed("formal", "node"), "node", "left")
     by_name = called.select("dist_id", F.when(F.col("first_only"), F.coalesce("first", "node")).otherwise(F.col("node")).alias("node"), "sink_kind", "pattern", "rank", "owner", "path", "line", "col")
 
-    # the walk back from an opened file does not enter what was written to it
-    to = g.nodes.select(F.col("node").alias("dst"), F.col("kind").alias("to"))
-    back = g.edges.join(to, "dst").where("not (to = 'definition' and kind = 'transform' and callee = 'open')").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge")
-    handles = g.writes.where("handle is not null").select(F.col("handle").alias("search"), F.col("handle").alias("node")).distinct()
-    parts = reach.bfs(back, handles).join(g.nodes.select("node", "kind", "label"), "node")
+    parts = g.origins("handle").select(F.col("start").alias("search"), F.col("end").alias("node")).join(g.nodes.select("node", "kind", "label"), "node")
     site = F.exists(F.array(*map(F.lit, cat.SITE_DIRS)), lambda p: (F.col("label") == p) | F.startswith("label", F.concat(p, F.lit("."))))
     built = parts.groupBy("search").agg(
         F.collect_set(F.when(F.col("kind") == "literal", F.col("label"))).alias("literals"),
@@ -201,8 +293,7 @@ def find_sinks(g: Graphs) -> DataFrame:
     written = g.writes.join(built.withColumnRenamed("search", "handle"), "handle").withColumn("x", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())))
     by_write = written.select(F.col("written").alias("node"), F.lit("persistence_write").alias("sink_kind"), "x.pattern", "x.rank").join(g.nodes, "node").select(*by_name.columns)
 
-    traced = reach.bfs(g.back, g.stdin.select(F.col("receiver").alias("search"), F.col("receiver").alias("node")).distinct())
-    fed = traced.join(g.interpreters, "node", "left_semi").select(F.col("search").alias("receiver")).distinct()
+    fed = g.origins("stdin").select(F.col("start").alias("receiver"))
     rank = next(n for _, p, _, n in cat.sink_patterns() if p == "<interpreter-stdin>")
     stdin = g.stdin.join(fed, "receiver", "left_semi").join(g.nodes, "node").select("dist_id", "node", F.lit("code_execution").alias("sink_kind"), F.lit("<interpreter-stdin>").alias("pattern"), F.lit(rank).alias("rank"), "owner", "path", "line", "col")
     return first_of(by_name.unionByName(by_write).unionByName(stdin), ["dist_id", "node", "sink_kind"], ["rank", "pattern"])
@@ -220,25 +311,32 @@ def _steps(paths: DataFrame, g: Graphs, keys: list[str]) -> DataFrame:
 
 
 class Prepared:
-    """What all modes share: sources, sinks, phases, and the steps of all data paths, each computed once."""
+    """What all modes share: sources, sinks, phases, and all paths with the steps of those of data, each computed once."""
 
     def __init__(self, graphs: DataFrame):
         self.g = g = Graphs(graphs)
         self.sources, self.sinks = stored(find_sources(g), "sources"), stored(find_sinks(g), "sinks")
-        self.phases = stored(reach.strongest_phase(g.calls, g.roots.select(F.col("key").alias("node"), "phase")), "phases").select(F.col("node").alias("owner"), F.col("phase").alias("phase_ord"))
+        reads = self.sources.where("source_kind = 'sensitive_file'").join(g.nodes.select("node", "owner"), "node").select(F.col("owner").alias("node"))
+        questions = {"sources": self.sources, "downloads": self.sources.where("source_kind = 'network_response'"), "sinks": self.sinks, "owners": self.sinks.select(F.col("owner").alias("node")).union(reads)}
+        self.found = _searched(g.graphs, ["flow_edges", "call_edges", "roots", "file_writes"], questions, _reached, "found")
+        self.phases = self.found.where("what = 'phase'").select(_key(F.col("start")).alias("owner"), F.col("end").alias("phase_ord"))
         self._steps: DataFrame | None = None
 
     def steps(self) -> DataFrame:
         if self._steps is None:
-            g, ends = self.g, self.sinks.select("node").distinct()
-            plain = reach.data_paths(g.edges, self.sources.select(F.col("node").alias("search"), "node").distinct(), ends)
-            via = g.writes.where("go is not null").select(F.col("written").alias("stop"), "go")
-            downloads = self.sources.where("source_kind = 'network_response'").select(F.col("node").alias("search"), "node").distinct()
-            joined = reach.paths_via(g.edges, downloads, via, ends)
-            paths = plain.select("search", "node", "nodes", "edges", F.lit("").alias("via")).union(joined.select("search", "node", "nodes", "edges", F.lit("file_write").alias("via")))
-            self._steps = stored(_steps(paths, g, ["search", "node", "via"]), "steps")
+            number = lambda c: F.transform(c, lambda n: F.when(n >= 0, _key(n)))
+            via = F.when(F.col("what") == "data", "").otherwise(F.col("what"))
+            paths = self.found.where("what in ('data', 'file_write')").select(_key(F.col("start")).alias("search"), _key(F.col("end")).alias("node"), number("nodes").alias("nodes"), number("edges").alias("edges"), via.alias("via"))
+            self._steps = stored(_steps(paths, self.g, ["search", "node", "via"]), "steps")
         return self._steps
 
+    def calls(self) -> DataFrame:
+        """Paths of calls: search, node, nodes, edges (as keys)."""
+        keys = F.transform("nodes", lambda n: _key(n))
+        out = self.found.where("what = 'call'").select(_key(F.col("start")).alias("search"), _key(F.col("end")).alias("node"), keys.alias("nodes"))
+        pairs = F.expr("transform(slice(nodes, 2, size(nodes)), (n, k) -> concat(nodes[k], '>', n))")
+        return out.withColumn("edges", pairs)
+
 
 def evaluate(graphs: DataFrame | Prepared, options: Options = Options()) -> DataFrame:
     """E-01..E-09, E-16: findings of all rules over all distributions."""
@@ -256,7 +354,7 @@ def evaluate(graphs: DataFrame | Prepared, options: Options = Options()) -> Data
         data = hits.join(src, "source").join(snk.drop("dist_id"), "sink").join(F.broadcast(by_source.withColumn("via", F.coalesce("via", F.lit("")))), ["source_kind", "sink_kind", "via"])
         data = data.withColumn("confidence", F.coalesce("confidence", F.lit(2))).withColumn("obfuscated", F.coalesce("obfuscated", F.lit(False)) | (F.col("source_kind") == "decoded_literal"))
         keep = ["dist_id", "rule", "ord", "title", "kind", "severity", "severity_override", "objective", "typical_phase", "source", "source_pattern", "sink", "sink_pattern", "owner", "confidence", "obfuscated", "steps"]
-        found = data.select(*keep).unionByName(_control(g, rules, src, snk).select(*keep))
+        found = data.select(*keep).unionByName(_control(ready, rules, src, snk).select(*keep))
 
     found = found.join(phases, "owner", "left").withColumn("phase", F.element_at(F.array(*map(F.lit, PHASES)), F.coalesce("phase_ord", F.lit(0)) + 1))
     if options.min_confidence is not None:
@@ -277,10 +375,10 @@ def _reads_as_sinks(src: DataFrame, g: Graphs) -> DataFrame:
     return src.where("source_kind = 'sensitive_file'").select("dist_id", F.col("source").alias("sink"), F.lit("sensitive_file").alias("sink_kind"), F.col("source_pattern").alias("sink_pattern"), F.col("source_path").alias("sink_path"), F.col("source_line").alias("sink_line"), F.col("source_col").alias("sink_col")).join(owner, "sink").select("dist_id", "sink", "sink_kind", "sink_pattern", "owner", "sink_path", "sink_line", "sink_col")
 
 
-def _control(g: Graphs, rules: DataFrame, src: DataFrame, snk: DataFrame) -> DataFrame:
+def _control(ready: Prepared, rules: DataFrame, src: DataFrame, snk: DataFrame) -> DataFrame:
     """X-07, E-03: from phase roots along calls to the definitions that hold a sink; the first root of the rule's phase."""
+    g, paths = ready.g, ready.calls()
     targets = snk.unionByName(_reads_as_sinks(src, g))
-    paths = reach.data_paths(g.calls.select("src", "dst", "edge"), g.roots.select(F.col("key").alias("search"), F.col("key").alias("node")).distinct(), targets.select(F.col("owner").alias("node")).distinct())
     roots = g.roots.select(F.col("key").alias("search"), F.col("ord").alias("root_ord"), F.element_at(F.array(*map(F.lit, PHASES)), F.col("phase") + 1).alias("root_phase"))
     wanted = rules.where("kind = 'control'").select("*", F.explode("sinks").alias("sink_kind")).drop("sinks", "sources")
     met = paths.withColumnRenamed("node", "owner").join(targets, "owner").join(roots, "search").join(F.broadcast(wanted), "sink_kind").where("root_phase = typical_phase")

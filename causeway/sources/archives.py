@@ -275,6 +275,13 @@ def sources_of(dists: DataFrame) -> DataFrame:
     return dists.where("reason is null").select("dist_id", F.explode("files").alias("f")).where("f.text is not null").select("dist_id", "f.path", "f.text")
 
 
+def python_of(dists: DataFrame) -> DataFrame:
+    """One row for each distribution that can be analysed, with all its Python files; nothing is exchanged."""
+    python = F.filter("files", lambda f: f["text"].isNotNull() & F.endswith(f["path"], F.lit(".py")))
+    files = F.transform(python, lambda f: F.struct(f["path"].alias("path"), f["text"].alias("text")))
+    return dists.where("reason is null").select("dist_id", files.alias("files"), F.lit(None).cast("array<string>").alias("top_level_modules"), "build_backend", "backend_path")
+
+
 def manifest_of(dists: DataFrame) -> DataFrame:
     """Members that are listed only."""
     return dists.select("dist_id", F.explode("files").alias("f")).where("f.text is null").select("dist_id", F.col("f.path").alias("rel_path"), "f.size_bytes")

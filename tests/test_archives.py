@@ -75,7 +75,7 @@ def test_pyproject_lines():
 
 
 def test_scan_and_project(spark, tmp_path, capsys):
-    bad = PAIRS["EXF-001"]["env_exfil_setup"][0]
+    bad = PAIRS["EXF-001"]["paint_mixer"][0]
     meta = lambda n, *needs: {"PKG-INFO": f"Name: {n}\nVersion: 1\n" + "".join(f"Requires-Dist: {x}\n" for x in needs)}
     sets = {"evil-1.tar.gz": bad | meta("evil"), "mid-1.tar.gz": {"setup.py": ""} | meta("mid", "evil>=1"), "top-1.tar.gz": {"setup.py": ""} | meta("top", "Mid", "evil; extra=='z'")}
     for name, files in sets.items():
@@ -109,7 +109,7 @@ def test_cache(spark, tmp_path, capsys):
 
     box = tmp_path / "in"
     box.mkdir()
-    (box / "evil-1.tar.gz").write_bytes(build(PAIRS["EXF-001"]["env_exfil_setup"][0], "evil-1"))
+    (box / "evil-1.tar.gz").write_bytes(build(PAIRS["EXF-001"]["paint_mixer"][0], "evil-1"))
     (box / "plain-1.tar.gz").write_bytes(build({"setup.py": ""}, "plain-1"))
     store = Store(spark, str(tmp_path / "cache"))
     assert store.stats((6, 2)) == {"entries": 0, "stale": 0, "bytes": 0}

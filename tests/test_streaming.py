@@ -8,7 +8,7 @@ from tests.test_archives import build
 def test_each_archive_once(spark, tmp_path):
     box = tmp_path / "in"
     box.mkdir()
-    (box / "evil-1.tar.gz").write_bytes(build(PAIRS["EXF-001"]["env_exfil_setup"][0], "evil-1"))
+    (box / "evil-1.tar.gz").write_bytes(build(PAIRS["EXF-001"]["paint_mixer"][0], "evil-1"))
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     for name in (None, "plain-1.tar.gz", "evil-2.tar.gz"):
         if name == "plain-1.tar.gz":
