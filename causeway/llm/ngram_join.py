@@ -20,7 +20,7 @@ its smallest sets, a block of BLOCK entries at a time, and links among the block
 is one component. Lists that still hold several components are gone through twice: entries outside a list's
 main component are compared, sketch against sketch, with all its blocks; first each document gives its closest partner only, then
 every pair across components is given. So neither links nor failures within a large group become rows.
-Tokens that the first pass finds in more documents than a block are salted, so that no task gets a whole list of them.
+Tokens that the first pass finds in more than WIDE documents are salted, so that no task gets a whole list of them.
 
 The plan is the same at every size: joins whose sides grow with the input are exchanged and merged. What is sent to all tasks is bounded: frequent
 tokens (HOT_KEPT), and bits of hashed ids (BITS) by which rows that cannot be meant stay where they are; with more
@@ -49,8 +49,9 @@ from causeway.llm.bounded import most_frequent
 from causeway.llm.components import joined
 from causeway.runtime import serve, ship, stored, unused_name
 
-#: Occurrences in merged lists that a candidate needs; documents of a list that is merged; entries of a block of a longer list.
-SHARED, SHORT, BLOCK = 3, 64, 1024
+#: Occurrences in merged lists that a candidate needs; documents of a list that is merged; entries of a block of a longer list;
+#: documents of a token above which its list is dealt over several tasks.
+SHARED, SHORT, BLOCK, WIDE = 3, 64, 256, 8192
 #: A token is frequent if a task finds it in HOT_LOCAL sets of a shard and all tasks together in HOT_TOTAL; at most
 #: HOT_KEPT tokens (12 bytes each) are sent to the tasks, which bounds a broadcast and changes no result.
 HOT_LOCAL, HOT_TOTAL, HOT_KEPT = 3, 64, 200_000
@@ -146,7 +147,7 @@ def frequent_tokens(docs: DataFrame, sim: Similarity) -> tuple[np.ndarray, np.nd
     rows = most_frequent(stored(sums, "frequent"), "n", HOT_KEPT).collect()
     tokens, n = (np.array([r[c] for r in rows], np.int64) for c in ("token", "n"))
     order = np.argsort(tokens.view(np.uint64))
-    return tokens[order].view(np.uint64), np.minimum(-(-n[order] // BLOCK), 1 << 15).astype(np.int32)
+    return tokens[order].view(np.uint64), np.minimum(-(-n[order] // WIDE), 1 << 15).astype(np.int32)
 
 
 SETS = "doc_id long, n int, sig binary, short binary, sketch binary"
@@ -450,17 +451,12 @@ def _across(sim: Similarity, nearest: bool):
     ``nearest``: of each document only the pair with the least share of differing bits.
     """
 
-    def closest(r: np.ndarray, c: np.ndarray, share: np.ndarray) -> np.ndarray:
-        ends, share = np.concatenate([r, c]), np.concatenate([share, share])
-        order = np.lexsort((share, ends))
-        first = order[np.concatenate([[True], ends[order][1:] != ends[order][:-1]])]
-        return np.unique(first % len(r))
-
     def compare(rows: list[tuple]) -> set[tuple[int, int]]:
         """Rows: probe, id, size, component, sketch."""
         found: set[tuple[int, int]] = set()
         probe, ids, n, comp = (np.array([r[k] for r in rows], np.int64) for k in range(4))
         wide = np.array([len(r[4]) for r in rows])
+        best, mate = np.full(len(rows), np.inf), np.full(len(rows), -1)
         for width in np.unique(wide).tolist():
             # one side's sketches have this width, the other's at least as much
             for left, right in (((probe == 1) & (wide == width), (probe == 0) & (wide >= width)), ((probe == 1) & (wide > width), (probe == 0) & (wide == width))):
@@ -468,7 +464,7 @@ def _across(sim: Similarity, nearest: bool):
                 if not len(x) or not len(y):
                     continue
                 u, v = (np.stack([folded(np.frombuffer(rows[k][4], np.uint8), width) for k in z]).view(np.uint64) for z in (x, y))
-                step = max(1, 4_000_000 // (len(y) * u.shape[1] + 1))
+                step = max(1, 200_000 // len(y))
                 for k in range(0, len(x), step):
                     xs = x[k : k + step]
                     fit = comp[xs][:, None] != comp[y][None]
@@ -481,9 +477,19 @@ def _across(sim: Similarity, nearest: bool):
                     for w in range(u.shape[1]):
                         diff += np.bitwise_count(u[k + r, w] ^ v[c, w])
                     good = np.flatnonzero(diff <= most)
-                    if nearest and len(good):
-                        good = good[closest(xs[r[good]], y[c[good]], diff[good] / (n[xs[r[good]]] + n[y[c[good]]]))]
-                    found.update((min(p), max(p)) for p in zip(ids[xs[r[good]]].tolist(), ids[y[c[good]]].tolist()))
+                    a, b = xs[r[good]], y[c[good]]
+                    if not nearest:
+                        found.update((min(p), max(p)) for p in zip(ids[a].tolist(), ids[b].tolist()))
+                        continue
+                    share = diff[good] / (n[a] + n[b])
+                    order = np.argsort(share, kind="stable")
+                    for own, other in ((a, b), (b, a)):
+                        row, first = np.unique(own[order], return_index=True)
+                        first = order[first]
+                        better = share[first] < best[row]
+                        best[row[better]], mate[row[better]] = share[first][better], other[first][better]
+        at = np.flatnonzero(mate >= 0)
+        found.update((min(p), max(p)) for p in zip(ids[at].tolist(), ids[mate[at]].tolist()))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
