@@ -1,14 +1,17 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation, beside unigram scores.
 
-The model predicts a vector from the vectors of the two words before, one matrix for each place, and scores a
-word by its product with that vector and a bias. Its outputs are the ``heads`` most frequent words of the
-training texts, the end of a text, and one class for all other words; within that class a word has its
-share of the class's smoothed unigram counts, so that the probabilities of all words sum to one.
-
-Counts cover all training documents. Training does too: every task takes one pass over its documents from the
-same start, contrasting each word with noise from the unigram distribution, and the parameters are averaged by the
-words they saw. What a task returns is of fixed size. Products of all vectors give tables of scores and of
-normalisers for every context, in blocks; with them a text is scored by look-up.
+The model predicts a vector from the vectors of the two words before, one matrix for each place. Its outputs have two levels. The
+``heads`` most frequent words of the training texts stand in classes of ``class_size`` by frequency; every further word is in one of
+``spellings`` classes by its last two bytes; the end of a text is a class of its own. The product of the predicted vector with the classes'
+vectors gives the class, that with the vectors of a class's words the word; both are normalised exactly, by
+batched matrix products. A word that is no head has its share of its class's smoothed unigram counts, so that
+the probabilities of all words sum to one. Words before that are no heads have the vector of their class.
+
+Counts cover all training documents. Training does too: documents are dealt by a hash of id and text over shards of
+about ``shard_tokens`` tokens, whose number comes from the counts. Each shard takes one pass in the order of that hash from the same
+start, contrasting classes and words with noise from the unigram distributions; vectors are averaged over shards, in the order of shards,
+by how often a shard saw what they stand for. So the model depends on the documents only, not on how they are
+partitioned; sums of scores agree up to rounding. What a shard returns is of fixed size. Repeated rows of one id and text teach once.
 
 Counts of the ``KNOWN`` most frequent words are broadcast (a fixed bound); the counts of all others meet the documents
 in a join on the word, without hot keys, since those are the broadcast ones.
@@ -25,11 +28,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.bounded import most_frequent
@@ -39,17 +43,22 @@ KNOWN = 100_000
 FLUSH = 400_000
 END = b""
 LONG = 40
-NO_ID = -(1 << 63)
+#: Rows of parameters that travel together when shards are averaged; tokens scored, and tokens trained, at a time.
+CHUNK, SCORED, TAKEN = 2_000, 20_000, 500_000
 
 
 @dataclass(frozen=True)
 class LogBilinear:
-    heads: int = 510
-    size: int = 16
+    heads: int = 16_384
+    class_size: int = 128
+    spellings: int = 61
+    size: int = 24
     noise: int = 25
-    batch: int = 8192
-    rate: float = 0.08
+    word_noise: int = 4
+    batch: int = 4096
+    rate: float = 0.1
     seed: int = 13
+    shard_tokens: int = 4_000_000
     folds: int = 7
     held_fold: int = 2
 
@@ -96,150 +105,345 @@ def counts(docs: DataFrame, spec: LogBilinear) -> DataFrame:
     return stored(docs.mapInArrow(_counted(spec), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
 
 
+def spelling(key: bytes, spec: LogBilinear) -> int:
+    """The class of a word (as ``key_of`` gives it) that is no head."""
+    return int.from_bytes(key[-2:], "big") % spec.spellings
+
+
+def spelling_column(word: Column, spec: LogBilinear) -> Column:
+    return F.pmod(F.conv(F.hex(F.substring(word, -2, 2)), 16, 10).cast("int"), F.lit(spec.spellings))
+
+
+@dataclass
+class Vocabulary:
+    """Heads by rank, classes, unigram counts. Ids: heads, then spellings, then the end (as a word before: the begin)."""
+
+    ids: dict[bytes, int]  # known words by rank; the first are the heads
+    counts: np.ndarray  # of known words
+    spellings: np.ndarray  # of known words
+    heads: int
+    class_counts: np.ndarray  # heads' classes, spellings, end
+    rest_norm: np.ndarray  # log10 of the smoothed total of each spelling
+    spec: LogBilinear
+
+    @classmethod
+    def of(cls, known: list[tuple[bytes, int]], rest: dict[int, tuple[int, int]], ends: int, spec: LogBilinear) -> Vocabulary:
+        """``rest``: tokens and words of each spelling among all words."""
+        known = sorted(known, key=lambda r: (-r[1], r[0]))
+        counts = np.array([n for _, n in known], np.float64)
+        spellings = np.array([spelling(w, spec) for w, _ in known], np.int64)
+        heads = min(spec.heads, len(known))
+        n = np.array([rest.get(k, (0, 0)) for k in range(spec.spellings)], np.float64).reshape(-1, 2)
+        np.subtract.at(n[:, 0], spellings[:heads], counts[:heads])
+        np.subtract.at(n[:, 1], spellings[:heads], 1)
+        by_class = np.bincount(np.arange(heads) // spec.class_size, counts[:heads], -(-heads // spec.class_size))
+        return cls({w: k for k, (w, _) in enumerate(known)}, counts, spellings, heads, np.concatenate([by_class, n[:, 0] + 1, [ends + 1]]), np.log10(n.sum(1) + 1), spec)
+
+    @property
+    def end(self) -> int:
+        return self.heads + self.spec.spellings
+
+    @property
+    def class_of(self) -> np.ndarray:
+        """Of each id."""
+        own = np.arange(self.heads) // self.spec.class_size
+        return np.concatenate([own, len(self.class_counts) - 1 - self.spec.spellings + np.arange(self.spec.spellings + 1)])
+
+    def numbers(self, words_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its rank among known words (or -1) and its id."""
+        rank = np.fromiter(map(self.ids.get, words_, repeat(-1)), np.int64, len(words_))
+        ids = np.where(rank < self.heads, rank, self.heads + (self.spellings[rank] if len(self.spellings) else 0))
+        unknown = np.flatnonzero(rank < 0)
+        ids[unknown] = [self.heads + spelling(key_of(words_[k]), self.spec) for k in unknown.tolist()]
+        return rank, ids
+
+
 class Parameters:
-    """Vectors, one matrix for each place before, and biases; ids: heads, then other, end, begin."""
+    """Vectors of words before, matrices of both places, vectors and biases of classes and of heads, as rows of one table."""
 
-    def __init__(self, q: np.ndarray, c: np.ndarray, b: np.ndarray):
-        self.q, self.c, self.b = q, c, b
+    def __init__(self, rows: np.ndarray, v: Vocabulary):
+        self.rows, d = rows, v.spec.size
+        cuts = np.cumsum([v.end + 1, 2 * d, len(v.class_counts), v.heads])
+        self.q, c, u, w = rows[: cuts[0], :d], rows[cuts[0] : cuts[1], :d], rows[cuts[1] : cuts[2]], rows[cuts[2] : cuts[3]]
+        self.c = c.reshape(2, d, d)
+        self.u, self.bu, self.w, self.bw = u[:, :d], u[:, d], w[:, :d], w[:, d]
 
     @classmethod
-    def start(cls, unigram: np.ndarray, spec: LogBilinear) -> Parameters:
-        r = np.random.default_rng(spec.seed)
-        q = r.normal(0, 0.1, (len(unigram) + 1, spec.size)).astype(np.float32)
-        c = np.stack([np.eye(spec.size) * s for s in (0.5, 0.25)]).astype(np.float32)
-        return cls(q, c, np.log(unigram).astype(np.float32))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.q.ravel(), self.c.ravel(), self.b]).astype(np.float64)
-
-    def shaped(self, flat: np.ndarray) -> Parameters:
-        x, y = self.q.size, self.q.size + self.c.size
-        return Parameters(*(v.astype(np.float32).reshape(like.shape) for v, like in zip((flat[:x], flat[x:y], flat[y:]), (self.q, self.c, self.b))))
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Score of each output by the word before, by the one before that, and the log normaliser of each pair of both."""
-        out = self.q[:-1]
-        one, two = (self.q @ c @ out.T for c in self.c)
-        norm = np.empty((len(self.q), len(self.q)), np.float32)
-        for k in range(len(self.q)):
-            s = two + (one[k] + self.b)
-            top = s.max(1)
-            norm[k] = top + np.log(np.exp(s - top[:, None]).sum(1))
-        return one + self.b, two, norm
-
-
-def train(ids: np.ndarray, p: Parameters, unigram: np.ndarray, spec: LogBilinear, r: np.random.Generator, seen: list[np.ndarray]) -> None:
-    """One pass of noise-contrastive estimation over (word, before, before that); steps shrink by the gradients seen."""
-    logn = np.log(unigram * spec.noise).astype(np.float32)
-
-    def step(value: np.ndarray, grad: np.ndarray, square: np.ndarray) -> None:
+    def start(cls, v: Vocabulary) -> Parameters:
+        r, d = np.random.default_rng(v.spec.seed), v.spec.size
+        p = cls(np.zeros((v.end + 1 + 2 * d + len(v.class_counts) + v.heads, d + 1), np.float32), v)
+        p.q[:] = r.normal(0, 0.1, p.q.shape)
+        p.c[:] = np.stack([np.eye(d) * x for x in (0.5, 0.25)])
+        p.u[:] = r.normal(0, 0.1, p.u.shape)
+        p.bu[:] = np.log(v.class_counts / v.class_counts.sum())
+        p.bw[:] = np.log(v.counts[: v.heads] / v.class_counts[v.class_of[: v.heads]])
+        return p
+
+    def logs(self, t: np.ndarray, v: Vocabulary) -> np.ndarray:
+        """Natural log probability of each (word, before, before that): of its class, and of a head within its class."""
+        class_of, out = v.class_of[t[:, 0]], np.empty(len(t), np.float32)
+        one, two = self.q @ self.c[0], self.q @ self.c[1]
+        for k in range(0, len(t), SCORED):
+            part, own = t[k : k + SCORED], class_of[k : k + SCORED]
+            h = one[part[:, 1]] + two[part[:, 2]]
+            s = h @ self.u.T + self.bu
+            s -= s.max(1, keepdims=True)
+            got = s[np.arange(len(part)), own] - np.log(np.exp(s).sum(1))
+            order = np.argsort(own, kind="stable")
+            order = order[part[order, 0] < v.heads]
+            for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(order) else ():
+                first = int(own[at[0]]) * v.spec.class_size
+                last = min(first + v.spec.class_size, v.heads)
+                s = h[at] @ self.w[first:last].T + self.bw[first:last]
+                s -= s.max(1, keepdims=True)
+                got[at] += s[np.arange(len(at)), part[at, 0] - first] - np.log(np.exp(s).sum(1))
+            out[k : k + SCORED] = got
+        return out
+
+
+def _scattered(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows of ``values`` by place."""
+    d = values.shape[1]
+    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), values.ravel(), size * d).reshape(size, d).astype(np.float32)
+
+
+class Trainer:
+    """One shard's pass of noise-contrastive estimation; steps shrink by the gradients seen."""
+
+    def __init__(self, v: Vocabulary, start: np.ndarray, shard: int):
+        self.v, self.p = v, Parameters(start.copy(), v)
+        self.random = np.random.default_rng([v.spec.seed, shard])
+        self.squares = np.zeros_like(start)
+        self.s = Parameters(self.squares, v)
+        share = v.class_counts / v.class_counts.sum()
+        self.class_share, self.class_noise = share, np.log(share * v.spec.noise).astype(np.float32)
+        self.class_of, self.edges = v.class_of, np.concatenate([[0.0], np.cumsum(v.counts[: v.heads])])
+        within = v.counts[: v.heads] / v.class_counts[self.class_of[: v.heads]]
+        self.word_noise = np.log(within * v.spec.word_noise).astype(np.float32)
+        self.seen = np.zeros(v.end + 1)
+        self.before = np.zeros(v.end + 1)
+
+    def weights(self) -> np.ndarray:
+        """How often the shard saw what each row of the parameters stands for."""
+        by_class = np.bincount(self.class_of, self.seen, len(self.v.class_counts))
+        return np.concatenate([self.before, np.full(2 * self.v.spec.size, self.seen.sum()), by_class, self.seen[: self.v.heads]])
+
+    def _step(self, value: np.ndarray, grad: np.ndarray, square: np.ndarray) -> None:
         square += grad * grad
-        value += spec.rate * grad / np.sqrt(square + 1e-8)
-
-    for k in range(0, len(ids), spec.batch):
-        w, w1, w2 = ids[k : k + spec.batch].T
-        noise = r.choice(len(unigram), spec.noise, p=unigram)
-        q, q1, q2, qn = p.q[w], p.q[w1], p.q[w2], p.q[noise]
-        v = q1 @ p.c[0] + q2 @ p.c[1]
-        good = 1 / (1 + np.exp((v * q).sum(1) + p.b[w] - logn[w]))
-        bad = -1 / (1 + np.exp(-(v @ qn.T + p.b[noise] - logn[noise])))
-        n = np.float32(len(w))
-        dv = (good[:, None] * q + bad @ qn) / n
-        gq, gb = np.zeros_like(p.q), np.zeros_like(p.b)
-        np.add.at(gq, w, good[:, None] * v / n)
-        np.add.at(gq, noise, bad.T @ v / n)
-        np.add.at(gq, w1, dv @ p.c[0].T)
-        np.add.at(gq, w2, dv @ p.c[1].T)
-        np.add.at(gb, w, good / n)
-        np.add.at(gb, noise, bad.sum(0) / n)
-        step(p.c, np.stack([q1.T @ dv, q2.T @ dv]), seen[1])
-        step(p.q, gq, seen[0])
-        step(p.b, gb, seen[2])
+        value += self.v.spec.rate * grad / np.sqrt(square + 1e-8)
+
+    def take(self, texts: list[np.ndarray]) -> None:
+        t = _contexts(texts, self.v.end)
+        self.seen += np.bincount(t[:, 0], minlength=len(self.seen))
+        self.before += np.bincount(t[:, 1], minlength=len(self.seen))
+        t = t[self.random.permutation(len(t))]
+        for k in range(0, len(t), self.v.spec.batch):
+            self._batch(*t[k : k + self.v.spec.batch].T)
+
+    def _batch(self, x: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> None:
+        v, p, s, spec = self.v, self.p, self.s, self.v.spec
+        sigmoid = lambda z: 1 / (1 + np.exp(-z))
+        n = np.float32(len(x))
+        q1, q2 = p.q[x1], p.q[x2]
+        h = q1 @ p.c[0] + q2 @ p.c[1]
+        own = self.class_of[x]
+        noise = self.random.choice(len(self.class_share), spec.noise, p=self.class_share)
+        good = sigmoid(-((h * p.u[own]).sum(1) + p.bu[own] - self.class_noise[own]))
+        bad = -sigmoid(h @ p.u[noise].T + p.bu[noise] - self.class_noise[noise])
+        dh = good[:, None] * p.u[own] + bad @ p.u[noise]
+        size = len(v.class_counts)
+        gu = _scattered(own, good[:, None] * h, size) + _scattered(noise, bad.T @ h, size)
+        gb = np.bincount(own, good, size) + np.bincount(noise, bad.sum(0), size)
+        at = np.flatnonzero(x < v.heads)
+        if len(at):
+            w, hw, c = x[at], h[at], own[at]
+            low = self.edges[c * spec.class_size]
+            high = self.edges[np.minimum((c + 1) * spec.class_size, v.heads)]
+            draw = low[:, None] + self.random.random((len(at), spec.word_noise)) * (high - low)[:, None]
+            others = np.minimum(np.searchsorted(self.edges, draw, "right") - 1, v.heads - 1)
+            every = np.concatenate([w[:, None], others], 1)
+            vectors = p.w[every]
+            z = np.einsum("nkd,nd->nk", vectors, hw) + p.bw[every] - self.word_noise[every]
+            g = -sigmoid(z)
+            g[:, 0] += 1
+            dh[at] += np.einsum("nk,nkd->nd", g, vectors)
+            gw = _scattered(every.ravel(), (g[:, :, None] * hw[:, None]).reshape(-1, spec.size), v.heads)
+            gbw = np.bincount(every.ravel(), g.ravel(), v.heads)
+            self._step(p.w, gw / n, s.w)
+            self._step(p.bw, (gbw / n).astype(np.float32), s.bw)
+        dh /= n
+        gq = _scattered(np.concatenate([x1, x2]), np.concatenate([dh @ p.c[0].T, dh @ p.c[1].T]), len(p.q))
+        self._step(p.c, np.stack([q1.T @ dh, q2.T @ dh]), s.c)
+        self._step(p.q, gq, s.q)
+        self._step(p.u, gu / n, s.u)
+        self._step(p.bu, (gb / n).astype(np.float32), s.bu)
 
 
 def _contexts(rows: list[np.ndarray], begin: int) -> np.ndarray:
-    """(word, before, before that) of texts, each with its end."""
+    """(word, before, before that) of texts, each with its end, which has the id of the begin."""
     flat = np.concatenate([x for r in rows for x in (np.array([begin, begin]), r)])
     three = np.stack([flat[2:], flat[1:-1], flat[:-2]], 1)
-    return three[three[:, 0] != begin]
+    keep = np.ones(len(flat), bool)
+    first = np.cumsum([0, *(len(r) + 2 for r in rows[:-1])])
+    keep[first] = keep[first + 1] = False
+    return three[keep[2:]]
 
 
-def _trained(spec: LogBilinear, model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, start, unigram = model.value
-        p = start.shaped(start.flat())
-        other, begin = len(heads), len(heads) + 2
-        seen = [np.zeros_like(x) for x in (p.q, p.c, p.b)]
-        r, held, size, total = np.random.default_rng(spec.seed), [], 0, 0
-
-        def take() -> None:
-            nonlocal held, size, total
-            if held:
-                ids = _contexts(held, begin)
-                total += len(ids)
-                train(ids[r.permutation(len(ids))], p, unigram, spec, r, seen)
-                held, size = [], 0
+def digest_of(doc_id: int | None, text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest(("" if doc_id is None else str(doc_id)).encode() + b"\x00" + (text or "").encode("utf-8", "replace"))
+
 
-        get = heads.get
+def _numbered(shards: int, model):
+    """Shard, digest and ids (two bytes each) of each training document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, _ = model.value
+        out: list[tuple] = []
         for doc_id, text in _rows(batches):
-            if not held_out(doc_id, spec):
-                w = words(text)
-                held.append(np.array([*(get(x, other) for x in w), other + 1], np.int64))
-                size += len(w) + 1
-                if size >= 500_000:
-                    take()
-        take()
-        if total:
-            flat = p.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * total), pa.array(np.full(len(flat), total, np.int64))], ["k", "x", "n"])
+            if not held_out(doc_id, v.spec):
+                digest = digest_of(doc_id, text)
+                ids = v.numbers(words(text))[1]
+                out.append((int.from_bytes(digest[:8], "big") % shards, digest, np.concatenate([ids, [v.end]]).astype("<u2").tobytes()))
+                if len(out) >= 1000:
+                    yield _batch_of(out, (pa.int32(), pa.binary(), pa.binary()), ("shard", "digest", "ids"))
+                    out = []
+        if out:
+            yield _batch_of(out, (pa.int32(), pa.binary(), pa.binary()), ("shard", "digest", "ids"))
 
     return run
 
 
-def fitted(docs: DataFrame, heads: dict[bytes, int], unigram: np.ndarray, spec: LogBilinear) -> Parameters:
-    start = Parameters.start(unigram, spec)
-    model = docs.sparkSession.sparkContext.broadcast((heads, start, unigram))
-    sums = docs.mapInArrow(_trained(spec, model), "k int, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
-    flat = start.flat()
-    for r in sums:
-        flat[r["k"]] = r["x"]
-    return start.shaped(flat)
+def _batch_of(rows: list[tuple], kinds, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], list(names))
 
 
-PARTS = "kid long, h int, doc_id long, held_out boolean, n_tokens long, n_known long, n_other long, known_log double, other_log double, model_log double, word binary, times long"
+_SUMS = "chunk int, shard int, sums binary, weights binary"
 
 
-def _scored(spec: LogBilinear, model):
+def _trained(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, start = model.value
+        trainer, key, held, size = None, None, [], 0
+
+        def done() -> pa.RecordBatch:
+            w = trainer.weights()
+            sums = trainer.p.rows.astype(np.float64) * w[:, None]
+            rows = [(k // CHUNK, key, sums[k : k + CHUNK].tobytes(), w[k : k + CHUNK].tobytes()) for k in range(0, len(w), CHUNK)]
+            return _batch_of(rows, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), ("chunk", "shard", "sums", "weights"))
+
+        for b in batches:
+            for shard, raw in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()):
+                if shard != key:
+                    if trainer is not None:
+                        if held:
+                            trainer.take(held)
+                        yield done()
+                    trainer, key, held, size = Trainer(v, start, shard), shard, [], 0
+                held.append(np.frombuffer(raw, "<u2").astype(np.int64))
+                size += len(held[-1])
+                if size >= TAKEN:
+                    trainer.take(held)
+                    held, size = [], 0
+        if trainer is not None:
+            if held:
+                trainer.take(held)
+            yield done()
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over shards, in the order of shards, of each chunk."""
+    key, sums, weights = None, None, None
+
+    def done() -> pa.RecordBatch:
+        return _batch_of([(key, 0, sums.tobytes(), weights.tobytes())], (pa.int32(), pa.int32(), pa.binary(), pa.binary()), ("chunk", "shard", "sums", "weights"))
+
+    for b in batches:
+        for chunk, a, w in zip(*(b.column(c).to_pylist() for c in ("chunk", "sums", "weights"))):
+            a, w = np.frombuffer(a), np.frombuffer(w)
+            if chunk == key:
+                sums, weights = sums + a, weights + w
+            else:
+                if key is not None:
+                    yield done()
+                key, sums, weights = chunk, a, w
+    if key is not None:
+        yield done()
+
+
+def fitted(docs: DataFrame, v: Vocabulary, tokens: int) -> Parameters:
+    start = Parameters.start(v).rows
+    model = docs.sparkSession.sparkContext.broadcast((v, start))
+    shards = max(1, -(-tokens // v.spec.shard_tokens))
+    rows = docs.mapInArrow(_numbered(shards, model), "shard int, digest binary, ids binary").groupBy("shard", "digest").agg(F.first("ids").alias("ids"))
+    parts = rows.repartition(shards, "shard").sortWithinPartitions("shard", "digest").select("shard", "ids").mapInArrow(_trained(model), _SUMS)
+    sums = stored(parts.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_summed, _SUMS), "parameters")
+    out = start.astype(np.float64)
+    for r in sums.collect():
+        w = np.frombuffer(bytes(r["weights"]))
+        at = np.arange(len(w)) + r["chunk"] * CHUNK
+        mean = np.frombuffer(bytes(r["sums"])).reshape(len(w), -1) / np.maximum(w, 1e-9)[:, None]
+        out[at[w > 0]] = mean[w > 0]
+    return Parameters(out.astype(np.float32), v)
+
+
+PARTS = "digest binary, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, model_log double, word binary, times long"
+
+
+def _scored(model):
     """For each document a row of what is known in the task, and a row for each further word of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, logs, (one, two, norm) = model.value
-        other, begin = len(heads), len(heads) + 2
-        get, log = heads.get, logs.get
-        names, kinds = [x.split()[0] for x in PARTS.split(", ")], {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
-        types = [kinds[x.split()[1]] for x in PARTS.split(", ")]
-        lone = (None,) * 8
+        v, rows, end_log, trained = model.value
+        p = Parameters(rows, v)
+        log = np.log10(v.counts + 1)
+        kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+        names, types = zip(*((n, kinds[k]) for n, k in (x.split() for x in PARTS.split(", "))))
+        lone = (None,) * 6
+
+        def part(docs: list[tuple[int | None, str | None]]) -> pa.RecordBatch:
+            out, split = [], [words(text) for _, text in docs]
+            sizes = np.array([len(w) for w in split])
+            flat = [x for w in split for x in w]
+            rank, ids = v.numbers(flat)
+            ends = np.cumsum(sizes)
+            found = np.where(rank >= 0, log[rank] if len(log) else 0.0, 0.0)
+            rest = ids >= v.heads
+            # of a word that is no head: its share of its class
+            share = np.where(rest, found - v.rest_norm[np.where(rest, ids - v.heads, 0)], 0.0)
+            texts = [np.concatenate([ids[e - n : e], [v.end]]) for n, e in zip(sizes.tolist(), ends.tolist())]
+            logs = p.logs(_contexts(texts, v.end), v).astype(np.float64) / np.log(10) if trained else np.zeros(len(ids) + len(texts))
+            totals = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]))
+            for (doc_id, text), w, n, e, total in zip(docs, split, sizes.tolist(), ends.tolist(), totals.tolist()):
+                own, r = slice(e - n, e), rank[e - n : e]
+                digest = digest_of(doc_id, text)
+                out.append((digest, doc_id, held_out(doc_id, v.spec), n + 1, int((r >= 0).sum()) + (end_log is not None), float(found[own].sum()) + (end_log or 0.0), total + float(share[own].sum()), None, None))
+                out += [(digest, *lone, x, k) for x, k in Counter(key_of(w[k]) for k in np.flatnonzero(r < 0).tolist()).items()]
+            return _batch_of(out, types, names)
+
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                out = []
-                for doc_id, text in _rows([b.slice(k, 1000)]):
-                    w = words(text)
-                    kid, h = NO_ID if doc_id is None else doc_id, xxhash.xxh32_intdigest((text or "").encode("utf-8", "replace")) - (1 << 31)
-                    ids = np.array([*(get(x, other) for x in w), other + 1], np.int64)
-                    t = _contexts([ids], begin)
-                    model_log = float((one[t[:, 1], t[:, 0]] + two[t[:, 2], t[:, 0]] - norm[t[:, 1], t[:, 2]]).sum(dtype=np.float64) / np.log(10))
-                    found = [log(x) for x in w]
-                    known = [x for x in found if x is not None]
-                    rest = Counter(key_of(x) for x, f in zip(w, found) if f is None)
-                    outside = [f for x, f in zip(ids.tolist(), found) if x == other and f is not None]
-                    end = log(END)
-                    out.append((kid, h, doc_id, held_out(doc_id, spec), len(ids), len(known) + (end is not None), int((ids == other).sum()), float(sum(known)) + (end or 0.0), float(sum(outside)), model_log, None, None))
-                    out += [(kid, h, *lone, x, n) for x, n in rest.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            held, size = [], 0
+            for row in _rows([b]):
+                held.append(row)
+                size += len(row[1] or "")
+                if size >= 2_000_000:
+                    yield part(held)
+                    held, size = [], 0
+            if held:
+                yield part(held)
 
     return run
 
 
+def vocabulary(table: DataFrame, ends: int, spec: LogBilinear) -> Vocabulary:
+    """From counts of all words; what reaches the driver is bounded: KNOWN words and the classes' sums."""
+    some = table.where(F.octet_length("word") > 0)
+    known = [(bytes(r["word"]), r["n"]) for r in most_frequent(some, "n", max(KNOWN, spec.heads)).collect()]
+    sums = some.groupBy(spelling_column(F.col("word"), spec).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
+    return Vocabulary.of(known, {r["k"]: (r["n"], r["words"]) for r in sums}, ends, spec)
+
+
 def scores(documents: DataFrame, spec: LogBilinear = LogBilinear()) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
@@ -247,28 +451,19 @@ def scores(documents: DataFrame, spec: LogBilinear = LogBilinear()) -> DataFrame
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = counts(docs, spec)
     total, kinds = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    words_only = table.where(F.octet_length("word") > 0)
-    first = [(bytes(r["word"]), r["n"]) for r in words_only.orderBy(F.desc("n"), "word").limit(spec.heads).collect()]
-    known = {bytes(r["word"]): r["n"] for r in most_frequent(words_only, "n", KNOWN).collect()} | dict(first)
     ends = table.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    logs = {w: float(np.log10(n + 1)) for w, n in known.items()} | ({END: float(np.log10(ends + 1))} if ends else {})
-    heads = {w: k for k, (w, _) in enumerate(first)}
-    inside = sum(n for _, n in first)
-    rest_n, rest_v = total - inside - ends, kinds - len(heads) - bool(ends)
-    unigram = np.array([*(n for _, n in first), rest_n + 1, ends + 1], np.float64)
-    unigram /= unigram.sum()
-    p = fitted(docs, heads, unigram, spec) if total else Parameters.start(unigram, spec)
-
-    model = spark.sparkContext.broadcast((heads, logs, p.tables()))
-    parts = stored(docs.mapInArrow(_scored(spec, model), PARTS), "parts")
+    v = vocabulary(table, ends, spec)
+    p = fitted(docs, v, total) if total else Parameters.start(v)
+
+    model = spark.sparkContext.broadcast((v, p.rows, float(np.log10(ends + 1)) if ends else None, bool(total)))
+    parts = stored(docs.mapInArrow(_scored(model), PARTS), "parts")
     own = parts.where("word is null")
-    rare = parts.where("word is not null").select("kid", "h", "word", "times").join(table, "word")
-    rare = rare.groupBy("kid", "h").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log"))
-    copies = own.groupBy("kid", "h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    out = own.drop("word", "times").join(rare, ["kid", "h"], "left").join(copies, ["kid", "h"], "left")
+    rare = parts.where("word is not null").select("digest", "word", "times").join(table, "word")
+    rare = rare.groupBy("digest").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log"))
+    copies = own.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    out = own.drop("word", "times").join(rare, "digest", "left").join(copies, "digest", "left")
     share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.coalesce("copies", F.lit(1))
     base = F.col("known_log") + share("log") - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))
-    score = F.col("model_log") + F.col("other_log") + share("log") - F.col("n_other") * F.lit(float(np.log10(rest_n + rest_v + 1)))
     return out.select(
         "doc_id",
         "held_out",
@@ -276,5 +471,5 @@ def scores(documents: DataFrame, spec: LogBilinear = LogBilinear()) -> DataFrame
         (F.col("n_known") + share("more").cast("long")).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (score if total else F.lit(0.0)).alias("score"),
+        (F.col("model_log") + share("log") if total else F.lit(0.0)).alias("score"),
     )

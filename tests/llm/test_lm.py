@@ -35,7 +35,7 @@ def test_against_brute_force(spark, monkeypatch):
         if zlib.crc32(str(i).encode()) % 7 != 2:
             c.update(tokens(t))
     n, v = sum(c.values()), len(c)
-    spec = lm.LogBilinear(heads=50, size=8, batch=64, rate=0.1)
+    spec = lm.LogBilinear(heads=50, class_size=16, spellings=7, size=8, batch=64, rate=0.2, shard_tokens=3000)
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n long").repartition(3)
     got = {r["doc_id"]: r for r in lm.scores(df, spec).collect()}
     assert len(got) == len(rows)
@@ -48,20 +48,40 @@ def test_against_brute_force(spark, monkeypatch):
         if r["held_out"]:
             model, unigram = model + r["score"], unigram + r["base_score"]
     assert model > unigram  # successors are predictable here
+    again = {r["doc_id"]: r for r in lm.scores(df.orderBy(df.doc_id.desc()).repartition(2), spec).collect()}
+    for i, r in got.items():
+        assert math.isclose(again[i]["score"], r["score"], rel_tol=1e-5) and again[i]["n_known"] == r["n_known"]
 
 
 def test_probabilities_sum_to_one():
-    unigram = np.array([4.0, 3, 2, 1]) / 10
-    p = lm.Parameters.start(unigram, lm.LogBilinear(size=4))
-    one, two, norm = p.tables()
-    for a in range(5):
-        for b in range(5):
-            assert math.isclose(np.exp((one[a] + two[b]).astype(float) - float(norm[a, b])).sum(), 1, rel_tol=1e-4)
+    spec = lm.LogBilinear(heads=7, class_size=3, spellings=2, size=4)
+    known = [(f"k{k}".encode(), 20 - k) for k in range(9)]
+    rest = {k: (sum(n + 4 for w, n in known if lm.spelling(w, spec) == k), sum(lm.spelling(w, spec) == k for w, _ in known) + 4) for k in range(2)}
+    v = lm.Vocabulary.of(known, rest, 5, spec)
+    p = lm.Parameters.start(v)
+    p.rows[:] += np.random.default_rng(1).normal(0, 0.5, p.rows.shape)
+    for a in range(v.end + 1):
+        t = np.array([[x, a, (a * 3) % (v.end + 1)] for x in range(v.end + 1)])
+        assert math.isclose(np.exp(p.logs(t, v).astype(float)).sum(), 1, rel_tol=1e-4)
+    assert list(v.numbers([b"k0", b"k8", b"new"])[0]) == [0, 8, -1]
+    assert v.numbers([b"k8"])[1][0] == 7 + lm.spelling(b"k8", spec)
+
+
+def test_shares_of_a_spelling(spark):
+    """Words that are no heads share their class by smoothed counts, a word without count included."""
+    texts = ["a a a a b b c c", "a b d", "a a e f"]
+    rows = [(i, t) for i, t in zip((k for k in range(50) if zlib.crc32(str(k).encode()) % 7 != 2), texts)]
+    probe = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
+    spec = lm.LogBilinear(heads=2, class_size=2, spellings=1, size=2)
+    df = spark.createDataFrame([*rows, (probe, "c zz"), (None, "c")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.scores(df, spec).collect()}
+    assert got[probe]["n_known"] == 2 and got[probe]["held_out"]
+    assert got[probe]["score"] < got[None]["score"] < 0
 
 
 def test_repeats_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, "a b zz"), (1, "a b zz"), (1, "a c"), (None, "a"), (None, None)], "doc_id long, text string")
-    got = lm.scores(df, lm.LogBilinear(heads=2, batch=8)).collect()
+    got = lm.scores(df, lm.LogBilinear(heads=2, class_size=2, batch=8)).collect()
     assert len(got) == 5
     same = [r for r in got if r["doc_id"] == 1 and r["n_tokens"] == 4]
     assert len(same) == 2 and same[0] == same[1]
