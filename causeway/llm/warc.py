@@ -3,10 +3,11 @@
 Writing. The page with the smallest id among those of equal payload is stored as a response; the others are
 stored as revisits that name it and have no payload of their own. Which is which comes from an
 aggregation over digests alone; only the pages themselves go through one exchange, by their digest's
-decision. Spark's text writer lays the records down, gzipped, in any file system that Spark writes to, in
-files of a bounded number of records.
+decision. Spark's text writer lays the records down, gzipped, in any file system that Spark writes to. Pages go by size into
+folders whose files hold fewer records the larger these are, so that a file has about 64 to 100 MiB at most, or one capture. (A file is one
+gzip member, since Spark's writer makes one a file; the reader takes archives of any number of members.)
 
-Reading. Every file is one task's work: records are cut by their Content-Length. Payload digests and sizes
+Reading. Every file is one task's work: members are inflated a part at a time, records are cut by their Content-Length. Payload digests and sizes
 are taken from the stored bytes; bodies do not travel further unless asked for. Records that
 name one another in WARC-Concurrent-To join into one nested row for each capture.
 
@@ -22,16 +23,20 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from causeway.runtime import scratch, ship
+from causeway.runtime import scratch, ship, stored
 
 CRLF = "\r\n"
-RECORDS_A_FILE = 3_000
+#: Largest payload, and records of a file (three for each capture) with payloads of up to that size.
+FILES = ((1 << 16, 3_000), (1 << 20, 300), (1 << 62, 3))
+#: Bytes that are inflated at a time.
+PART = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -46,16 +51,24 @@ def base32(hexed: Column) -> Column:
     return F.concat(*digits)
 
 
-def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Pages with payload, its size and digest, and the id of the response that they revisit, if any."""
+def prepared(pages: DataFrame) -> DataFrame:
+    """Pages with payload, its size and digest, and the target and its digest."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("target", F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"))
-    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "sha1": F.sha1(F.col("payload").cast("binary")), "site": F.coalesce(F.sha1(F.col("target").cast("binary")), F.lit("none"))})
+    return rows.withColumns({"size": F.octet_length("payload").cast("long"), "sha1": F.sha1(F.col("payload").cast("binary")), "site": F.coalesce(F.sha1(F.col("target").cast("binary")), F.lit("none"))})
+
+
+def responses(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """Of payloads found more than once, the page that is stored as a response: sha1, size, first, first_site."""
     # a null id sorts last
     order = F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").alias("page"), "site")
     firsts = rows.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies"))
-    firsts = firsts.where("copies > 1").select("sha1", "size", F.col("least.page").alias("first"), F.col("least.site").alias("first_site"))
+    return firsts.where("copies > 1").select("sha1", "size", F.col("least.page").alias("first"), F.col("least.site").alias("first_site"))
+
+
+def decided(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``prepared`` pages with the id of the response that they revisit, if any."""
     out = rows.join(firsts, ["sha1", "size"], "left")
     return out.withColumn("refers_to", F.when(F.col("first") != F.coalesce("page_id", F.col("first") + 1), F.col("first"))).drop("first")
 
@@ -72,9 +85,8 @@ def _record(kind: Column, headers: list[tuple[str, Column]], block: Column) -> C
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
-def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """One text for each record; the separator of records, two line ends, is the writer's."""
-    p = decided(pages, least_bytes)
+def records(p: DataFrame) -> DataFrame:
+    """One text for each record of ``decided`` pages; the separator of records, two line ends, is the writer's."""
     page, again = F.col("page_id"), F.col("refers_to").isNotNull()
     target, site = F.col("target"), F.col("site")
     digest = F.concat(F.lit("sha1:"), base32(F.col("sha1")))
@@ -98,26 +110,76 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    out = records(pages, least_bytes).write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
-    out.option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    """Archives in folders of ``path``, one for each class of sizes that pages have."""
+    rows = prepared(pages)
+    kind = sum((F.when(F.col("size") > limit, 1).otherwise(0) for limit, _ in FILES), F.lit(0))
+    firsts = stored(responses(rows, least_bytes), "responses")
+    found = rows.groupBy(kind.alias("kind")).count().collect()
+    if not found:  # a folder without archives
+        pages.sparkSession.createDataFrame([], "value string").write.text(path)
+    for r in found:
+        out = records(decided(rows.where(kind == r["kind"]), firsts)).write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
+        out.option("maxRecordsPerFile", FILES[r["kind"]][1]).text(f"{path}/size-{r['kind']}")
 
 
 FIELDS = "record_id string, type string, target string, concurrent_to string, refers_to string, declared_digest string, payload_bytes long, payload_digest string, block binary"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of all gzip members, a part at a time; data that is not gzipped as it is."""
+    rest = memoryview(data)
+    if bytes(rest[:2]) != b"\x1f\x8b":
+        yield data
+        return
+    while len(rest) and bytes(rest[:2]) == b"\x1f\x8b":
+        d, at, tail = zlib.decompressobj(31), 0, b""
+        while not d.eof:
+            if not tail:
+                tail, at = bytes(rest[at : at + PART]), at + PART
+                if not tail:
+                    raise EOFError("an archive ends within a member")
+            yield d.decompress(tail, PART)
+            tail = d.unconsumed_tail
+        rest = rest[min(at, len(rest)) - len(d.unused_data) :]
+
+
+def parse(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of every record."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "replace").split(CRLF)
+    held, at = bytearray(), 0  # what is not yet read begins at ``at``
+
+    def more() -> bool:
+        nonlocal at
+        part = next(parts, None)
+        if part is None:
+            return False
+        if at:
+            del held[:at]
+            at = 0
+        held.extend(part)
+        return True
+
+    while True:
+        while len(held) - at < 4 and more():
+            pass
+        while held[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+            while at >= len(held) and more():
+                pass
+        if at >= len(held):
+            return
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                raise EOFError("an archive ends within a record's head")
+        version, *lines = held[at:end].decode("utf-8", "replace").split(CRLF)
         if not version.startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
+            raise ValueError(f"no record begins with {version[:20]!r}")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        begin = end + 4
-        stop = begin + int(head["content-length"])
-        yield head, bytes(view[begin:stop])
-        at = stop + 4
+        at, size = end + 4, int(head["content-length"])
+        while len(held) - at < size:
+            if not more():
+                raise EOFError("an archive ends within a record")
+        yield head, bytes(held[at : at + size])
+        at += size
 
 
 def _parsed(keep_blocks: bool):
@@ -125,7 +187,7 @@ def _parsed(keep_blocks: bool):
     kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.binary()]
 
     def rows(data: bytes) -> Iterator[tuple]:
-        for head, block in parse(zlib.decompress(data, 47)):
+        for head, block in parse(inflated(data)):
             kind, size, digest = head["warc-type"], None, None
             if kind == "response":
                 payload = block[block.index(b"\r\n\r\n") + 4 :]
@@ -139,9 +201,9 @@ def _parsed(keep_blocks: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column("content"):
-                cols = list(zip(*rows(data.as_py())))
-                if cols:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+                found = rows(data.as_py())
+                while some := list(islice(found, 1000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
 
     return run
 
@@ -149,7 +211,7 @@ def _parsed(keep_blocks: bool):
 def read(spark: SparkSession, path: str, keep_blocks: bool = False) -> DataFrame:
     """One row for each record of the archives under ``path``."""
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(_parsed(keep_blocks), FIELDS)
 
 
