@@ -10,7 +10,7 @@ longer than the longest token, so no later token can attach further back than th
 therefore stays within a few times this length, however long a text is, and what was emitted
 never changes.
 
-The text is cut into pieces by the byte-level pattern first. Pieces that recur come from a
+The text is cut into pieces by the byte-level pattern first, a stretch of it at a time. Pieces that recur come from a
 table of bounded size; others pass through the transducer.
 
 Decoding feeds the tokens' bytes to a state machine that holds at most three bytes of an unfinished
@@ -40,7 +40,17 @@ from causeway.runtime import serve, ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each of the two generations of the table of pieces, and of the table of fitting neighbours.
 TABLE_SIZE, FITS_SIZE = 120_000, 300_000
-CHUNK = 1 << 16
+#: Characters cut into pieces at a time.
+STRETCH = 1 << 16
+
+
+def located(name: str) -> str:
+    """A path as it is; a bare file name in the folder of public tokenizers of the machine that reads it."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,7 +64,7 @@ class Vocabulary:
     """Tokens, merges and special tokens of a tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(located(path), encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
         unwrap = lambda s: bytes(alphabet[c] for c in s)
@@ -266,11 +276,23 @@ class Encoder:
         self.table[s] = got
         return got
 
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """All pieces in order, those of a stretch at a time: its last two may go on, or be cut otherwise, beyond its end."""
+        at, size = 0, STRETCH
+        while len(text) - at > size:
+            found = self.find(text, at, at + size)
+            if len(found) < 4:
+                size *= 2
+                continue
+            del found[-2:]
+            yield found
+            at, size = at + sum(map(len, found)), STRETCH
+        yield self.find(text, at) if at else self.find(text)
+
     def _plain(self, text: str) -> Iterator[bytes]:
         table, piece = self.table, self.piece
-        pieces = self.find(text)
-        for k in range(0, len(pieces), CHUNK):
-            yield b"".join([table.get(p) or piece(p) for p in pieces[k : k + CHUNK]])
+        for found in self.pieces(text):
+            yield b"".join([table.get(p) or piece(p) for p in found])
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Blocks of ids, in order. Strings of special tokens become those tokens."""

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from causeway.llm import bpe, cotraining, decontam, lm, ngram_join, pii, quality, rollups, warc, wrapper
 from causeway.runtime import scratch, table
 
-#: Where the vocabulary files of public tokenizers lie.
-TOKENIZERS = "/opt/tokenizers"
+#: The byte-level vocabulary: a file name among the public tokenizers, or a path.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op4_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,17 +19,14 @@ def op4_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted in one batch, under two tokenizer versions; the batch is then sent again."""
-    rows = rollups.counted(table(spark, sf_dir, "documents"), {"words-1": None, "byte_bpe_50k-1": f"{TOKENIZERS}/byte_bpe_50k.json"})
-    changes = rows.withColumns({"change": F.lit("insert"), "old_tokens": F.lit(None).cast("long")})
-    ledger = rollups.Ledger(spark, scratch(spark, "ledger"))
-    for _ in range(2):
-        ledger.commit("load", changes)
-    return ledger.totals()
+    """All documents, less those that labels call toxic."""
+    gone = table(spark, sf_dir, "labels").where("toxic = 1")
+    versions = {"words-1": None, "byte_bpe_50k-1": TOKENIZER}
+    return rollups.maintained(table(spark, sf_dir, "documents"), gone, versions, rollups.Ledger(spark, scratch(spark, "ledger")))
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.token_digests(table(spark, sf_dir, "documents"), TOKENIZER).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op1_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(table(spark, sf_dir, "documents"))
+    return quality.verdicts(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 _DIGITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0x' || substr(h, {10 * (k // 8) + 1}, 10))::BIGINT >> {35 - 5 * (k % 8)} & 31 AS INTEGER), 1)" for k in range(32))
@@ -105,6 +102,44 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id
 """
 
 
+def _classes() -> str:
+    """Counts of each class of characters, as a list."""
+    kinds = (" \\x09-\\x0D", "a-z", "A-Z", "0-9", ".,;:'\"?()\\-", "|<>{}\\[\\]", "!", "#$%&*+/=@\\\\^_`~\\x00-\\x08\\x0E-\\x1F\\x7F")
+    counts = [f"length(regexp_replace(t, '[^{k}]', '', 'g'))".replace("'\"", "''\"") for k in kinds]
+    return "[" + ", ".join([*counts, "length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g'))"]) + "]"
+
+
+def _divergence(share: str, of: str) -> str:
+    """Jensen-Shannon distance from the bins that a text has: those that it lacks add their share of the reference."""
+    return f"sqrt(greatest(0, (sum(CASE WHEN {share} > 0 THEN {share} * log2({share} / (({share} + {of}) / 2)) ELSE 0 END) + sum(CASE WHEN {share} > 0 AND {of} > 0 THEN {of} * log2({of} / (({share} + {of}) / 2)) ELSE 0 END) + 1 - sum(CASE WHEN {share} > 0 THEN {of} ELSE 0 END)) / 2))"
+
+
+_COMMON = ", ".join(f"('{w.decode()}')" for w in quality.WORDS)
+_RULES = quality.QualityRules()
+OP8_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN {quality.LANGS} THEN lang ELSE '*' END AS lang FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) AS lines,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 6)) AS p, unnest(list_transform(range(1, len(w) - 6), lambda p: array_to_string(w[p:p + 7], ' '))) AS x FROM w WHERE len(w) >= 8),
+again AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 8)) AS q FROM g JOIN (SELECT r, x FROM g GROUP BY r, x HAVING count(*) > 1) USING (r, x)) GROUP BY r),
+base AS (SELECT r, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN again USING (r)),
+c AS (SELECT r, lang, unnest(range(9)) AS k, unnest({_classes()}) AS n FROM d),
+cr AS (SELECT lang, k, sum(n) AS n FROM (SELECT lang, k, n FROM c UNION ALL SELECT '*', k, n FROM c WHERE lang <> '*') GROUP BY ALL),
+cs AS (SELECT r, lang, k, n / nullif(sum(n) OVER (PARTITION BY r), 0) AS p FROM c), crs AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS q FROM cr),
+dc AS (SELECT r, {_divergence('p', 'q')} AS dc FROM cs JOIN crs USING (lang, k) WHERE p IS NOT NULL GROUP BY r),
+common AS (SELECT * FROM (VALUES {_COMMON}) AS v(word)),
+x AS (SELECT r, lang, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+')) AS x FROM d),
+b AS (SELECT r, lang, coalesce(word, '#') AS k, count(*) AS n FROM x LEFT JOIN common ON word = x GROUP BY ALL),
+br AS (SELECT lang, k, sum(n) AS n FROM (SELECT lang, k, n FROM b UNION ALL SELECT '*', k, n FROM b WHERE lang <> '*') GROUP BY ALL),
+bs AS (SELECT r, lang, k, n / sum(n) OVER (PARTITION BY r) AS p FROM b), brs AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS q FROM br),
+dw AS (SELECT r, {_divergence('p', 'q')} AS dw FROM bs JOIN brs USING (lang, k) GROUP BY r),
+f AS (SELECT doc_id, base.* EXCLUDE (r), n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_pct} * n_words AS base_failed, coalesce(dc, 0) AS dc, coalesce(dw, 0) AS dw, {_RULES.scatter} / sqrt(greatest(n_words, 1)) AS slack
+  FROM d JOIN base USING (r) LEFT JOIN dc USING (r) LEFT JOIN dw USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {_RULES.guard_words} AND (dc > {_RULES.max_char_distance} + slack / 4 OR dw > {_RULES.max_word_distance} + slack)) AS kept FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_wrapper_induction": op1_wrapper_induction,
@@ -125,5 +160,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard": OP2_SQL,
         "op3_suffix_decontamination": OP3_SQL,
+        "op8_quality_rules": OP8_SQL,
         "op9_warc_transactions": OP9_SQL,
     }

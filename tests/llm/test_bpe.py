@@ -6,9 +6,10 @@ import pytest
 from tokenizers import Tokenizer
 
 from causeway.llm import bpe
-from causeway.llm.entries import TOKENIZERS
+from causeway.llm.bpe import located
+from causeway.llm.entries import TOKENIZER
 
-PATH = f"{TOKENIZERS}/byte_bpe_50k.json"
+PATH = located(TOKENIZER)
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,16 @@ def test_query(spark, library):
     assert bpe.token_digests(df.limit(0), PATH).count() == 0
     whole = bpe.encoded(df.where("text is not null"), PATH).collect()
     assert all(len(r["ids"]) == r["n_tokens"] for r in whole)
+
+
+def test_pieces_of_stretches(monkeypatch):
+    import random
+
+    r = random.Random(3)
+    enc = bpe.Encoder(PATH)
+    texts = ["".join(r.choice(["a", "é", " ", "  ", "\n", "'", "'s", "'ll", "9", "!", "\t", "word", "\u3000", "’"]) for _ in range(r.randrange(300))) for _ in range(300)]
+    texts += ["x" * 500 + " y", " " * 400 + "z", "a " * 200]
+    for size in (5, 8, 64):
+        monkeypatch.setattr(bpe, "STRETCH", size)
+        for t in texts:
+            assert [p for some in enc.pieces(t) for p in some] == enc.find(t)

@@ -4,9 +4,10 @@ import pytest
 from tokenizers import Tokenizer
 
 from causeway.llm import rollups
-from causeway.llm.entries import TOKENIZERS
+from causeway.llm.bpe import located
+from causeway.llm.entries import TOKENIZER
 
-PATH = f"{TOKENIZERS}/byte_bpe_50k.json"
+PATH = located(TOKENIZER)
 
 
 def test_counts_against_brute_force(spark):
@@ -42,3 +43,35 @@ def test_batches(spark, tmp_path):
     with pytest.raises(Exception, match="no such change"):
         ledger.commit("bad", spark.createDataFrame([("a", "en", "t", "upsert", 1, None)], schema))
     assert rollups.Ledger(spark, str(tmp_path / "m")).totals().count() == 0
+
+
+def test_compaction_and_racing_writers(spark, tmp_path):
+    schema = "source string, lang string, tokenizer string, change string, tokens long, old_tokens long"
+    df = spark.createDataFrame([("a", "en", "t", "insert", 3, None)], schema)
+    one, two = (rollups.Ledger(spark, str(tmp_path / "l")) for _ in range(2))
+    # both have looked for the batch, found none, and written their sums
+    folders = [x._written(rollups.signed(df)) for x in (one, two)]
+    assert [x._claim("batches", "b", [f]) for x, f in zip((one, two), folders)] == [True, False]
+    total = lambda: [tuple(r) for r in rollups.Ledger(spark, str(tmp_path / "l")).totals().collect()]
+    assert total() == [("a", "en", "t", 1, 3)]
+    assert one.compact() and total() == [("a", "en", "t", 1, 3)]
+    assert not two.commit("b", df) and two.commit("c", df) and total() == [("a", "en", "t", 2, 6)]
+    stale = two._parts()
+    assert one.compact() and not two._claim("generations", str(stale[0] + 1), ["elsewhere"])
+    assert total() == [("a", "en", "t", 2, 6)] and one._parts()[2] == ["b", "c"]
+
+
+def test_maintained_totals_against_brute_force(spark, tmp_path):
+    lib = Tokenizer.from_file(PATH)
+    docs = [(k, None if k == 3 else f"some words {k} " * (k % 5), "ab"[k % 2], "en") for k in range(20)] + [(None, "no id", None, None), (4, "again", "a", "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    gone = spark.createDataFrame([(4,), (4,), (9,), (None,), (99,)], "doc_id long")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in rollups.maintained(df, gone, {"w": None, "b": PATH}, rollups.Ledger(spark, str(tmp_path / "l"))).collect()}
+    want: dict = {}
+    for i, t, s, lang in docs:
+        if i not in (4, 9):
+            for name, n in (("w", len((t or "").split())), ("b", len(lib.encode(t or "", add_special_tokens=False).ids))):
+                a, b = want.get((s, lang, name), (0, 0))
+                want[s, lang, name] = (a + 1, b + n)
+    assert got == want
+    assert rollups.maintained(df.limit(0), gone, {"w": None}, rollups.Ledger(spark, str(tmp_path / "m"))).count() == 0
