@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm import bpe, decontam, ngram_join, pii, quality
-from causeway.llm.entries import TOKENIZERS
+from causeway.llm.entries import TOKENIZER
 from causeway.runtime import stored, table
 
 NEAR = ngram_join.Similarity(words=5, num=80, den=100)
@@ -35,7 +35,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests of ids and of the text decoded from them."""
-    return bpe.encoded(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.encoded(docs, TOKENIZER)
 
 
 STAGES = [
