@@ -2,13 +2,17 @@
 
 Target: a document is good if it is labelled of good quality and not toxic. The text view has
 character classes, repetition and the presence of telling words; the metadata view has language, source and
-length. Both are logistic models. They start from labelled rows; in each round each labels the documents of an
-unlabelled pool that it is most sure of, for the other to learn from. At last each view is
-calibrated on labelled rows kept aside, a third logistic model combines the two, and every document
-is scored, in one pass without an exchange.
+length, alone and in pairs. Both are logistic models. They start from labelled rows. In each round each view ranks all other documents
+and labels those at both ends of its ranking, for the other view to learn from; how many of the labelled rows kept aside
+are right at that end of the ranking tells whether the view may teach that label. At last each view is
+calibrated on the rows kept aside, a third logistic model combines the two, and every document is scored.
 
-Bounds, all parameters: at most ``labelled`` labelled rows and ``pool`` unlabelled ones are used to fit, the
-first of each by a hash of the id. The telling words are the ``words`` best by their chi-square. Scores cover all rows.
+Documents are read twice: for the labelled rows' features, and for compact features of all rows, which go to the shared folder
+(about 200 bytes a row). Rounds and scores read these only. A round sends to the driver a histogram of both rankings and ``teach`` rows for each
+label and view, somewhat more where many rows have one rank; a hash of the row decides among these.
+
+Bounds, all parameters: at most ``labelled`` labelled rows are used to fit, the first by a hash of the id; all other rows count as
+unlabelled. The telling words are the ``words`` best by their chi-square. Rankings and scores cover all rows.
 
 Defined results: null texts count as empty, null metadata as a value of its own. Labels of one id are merged (worst counts); null
 labels are not used. Without labels of both kinds every score is 0.5 and every document is kept. Repeated rows
@@ -18,7 +22,7 @@ each give a row; an empty table gives an empty result. Extra columns are not rea
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,16 +34,18 @@ from causeway.llm.quality import CLASSES, histograms, repeated_words
 from causeway.runtime import ship, stored
 
 _BARE = bytes(c if 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
-SOURCE_BINS, LANG_BINS = 32, 16
+SOURCE_BINS, LANG_BINS, SIZE_BINS, PAIR_BINS = 32, 16, 24, 256
+#: Steps of a ranking within one unit of the margin, and the largest margin told apart.
+STEPS, WIDEST = 20, 20
 
 
 @dataclass(frozen=True)
 class CoTraining:
     labelled: int = 6000
-    pool: int = 3000
     words: int = 800
     rounds: int = 4
-    sure: float = 0.98
+    #: Share of right labels among the kept-aside rows that a view must have at the end of its ranking.
+    sure: float = 0.9
     teach: int = 300
     keep_from: float = 0.5
 
@@ -58,12 +64,16 @@ N_STYLE = CLASSES + 6
 
 
 def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    x = np.zeros(LANG_BINS + SOURCE_BINS + 4)
-    x[zlib.crc32((lang or "\0").encode()) % LANG_BINS] = 1
-    x[LANG_BINS + zlib.crc32((source or "\0").encode()) % SOURCE_BINS] = 1
-    size = np.log1p(max(0, n_chars or 0)) / 10
-    x[-4:] = size, size**2, n_chars is None, (n_chars or 0) < 100
-    return x
+    """Places of the bins: language, source, length (an eighth of a power of ten), and the three pairs of these."""
+    size = SIZE_BINS - 1 if n_chars is None else min(SIZE_BINS - 2, int(np.log10(max(0, n_chars) + 1) * 4))
+    own = (zlib.crc32((lang or "\0").encode()) % LANG_BINS, zlib.crc32((source or "\0").encode()) % SOURCE_BINS, size)
+    pairs = [zlib.crc32(f"{k} {own[i]} {own[j]}".encode()) % PAIR_BINS for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2)))]
+    singles = (own[0], LANG_BINS + own[1], LANG_BINS + SOURCE_BINS + own[2])
+    return np.array([*singles, *(N_SINGLE + x for x in pairs)], np.uint16)
+
+
+N_SINGLE = LANG_BINS + SOURCE_BINS + SIZE_BINS
+N_META = N_SINGLE + PAIR_BINS
 
 
 def words_of(text: str) -> np.ndarray:
@@ -112,22 +122,31 @@ class Views:
         at = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
         return at[self.words[at] == found]
 
-    def text_row(self, shape: np.ndarray, found: np.ndarray) -> np.ndarray:
-        x = np.zeros(N_STYLE + len(self.words), np.float32)
-        x[:N_STYLE] = np.clip((shape - self.mean) / self.scale, -8, 8)
-        x[N_STYLE + self.told(found)] = 1
+    def compact(self, shape: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled style and places of the telling words."""
+        return np.clip((shape - self.mean) / self.scale, -8, 8).astype(np.float32), self.told(found).astype(np.uint16)
+
+    def text_rows(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        x = np.zeros((len(rows), N_STYLE + len(self.words)), np.float32)
+        for k, (shape, told) in enumerate(rows):
+            x[k, :N_STYLE] = shape
+            x[k, N_STYLE + told.astype(int)] = 1
         return x
 
-    def scores(self, text: str, lang: str | None, source: str | None, n_chars: int | None) -> tuple[float, float, float]:
+    def scores(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Calibrated scores of each view and of both, from margins."""
         if self.text is None:
-            return 0.5, 0.5, 0.5
-        shape = np.clip((style(text) - self.mean) / self.scale, -8, 8)
-        found = self.told(words_of(text))
-        a = float(shape @ self.text[:N_STYLE] + self.text[N_STYLE:-1][found].sum() + self.text[-1])
-        b = float(margin(metadata(lang, source, n_chars), self.meta))
+            return np.full((3, len(a)), 0.5)
         a, b = self.text_line[0] * a + self.text_line[1], self.meta_line[0] * b + self.meta_line[1]
         c = self.both[0] * a + self.both[1] * b + self.both[2]
-        return tuple(1 / (1 + np.exp(-np.clip((a, b, c), -50, 50))))
+        return 1 / (1 + np.exp(-np.clip(np.stack([a, b, c]), -50, 50)))
+
+
+def meta_rows(places: list[np.ndarray]) -> np.ndarray:
+    x = np.zeros((len(places), N_META), np.float32)
+    for k, p in enumerate(places):
+        x[k, p.astype(int)] = 1
+    return x
 
 
 def telling(found: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
@@ -143,51 +162,59 @@ def telling(found: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
     return np.sort(words[best[chi[best] >= 0]])
 
 
-def fit(rows: list[dict], spec: CoTraining = CoTraining()) -> Views:
-    """``rows``: style, words, meta and label (None in the pool)."""
-    known = [r for r in rows if r["label"] is not None]
-    y = np.array([r["label"] for r in known], float)
-    if len(known) < 10 or y.min() == y.max():
+#: A row as both views see it: (style, telling words) and metadata.
+Seen = tuple[tuple[np.ndarray, np.ndarray], np.ndarray]
+#: Of a round: view and label to the rows at that end of the ranking, by key.
+Surest = Callable[[Views, int], dict[tuple[str, int], dict[int, Seen]]]
+
+
+def begun(rows: list[dict], spec: CoTraining) -> Views:
+    """Telling words and scale of the style, from labelled rows that are not kept aside."""
+    y = np.array([r["label"] for r in rows], float)
+    if len(rows) < 10 or y.min() == y.max():
         return Views()
-    aside = np.arange(len(known)) % 4 == 3
-    learn = ~aside
-    v = Views(telling([r["words"] for r, k in zip(known, learn) if k], y[learn], spec.words))
-    shapes = np.array([r["style"] for r in known])
-    v.mean, v.scale = shapes[learn].mean(0), shapes[learn].std(0) + 1e-6
-    every = [*known, *(r for r in rows if r["label"] is None)]
-    xt, xm = np.array([v.text_row(r["style"], r["words"]) for r in every]), np.array([r["meta"] for r in every], np.float32)
-    n = len(known)
-    base = np.flatnonzero(learn)
-    taught: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
+    learn = np.arange(len(rows)) % 4 != 3
+    v = Views(telling([r["words"] for r, k in zip(rows, learn) if k], y[learn], spec.words))
+    shapes = np.array([r["style"] for r in rows])[learn]
+    v.mean, v.scale = shapes.mean(0), shapes.std(0) + 1e-6
+    return v
+
+
+def fit(rows: list[dict], v: Views, surest: Surest, spec: CoTraining = CoTraining()) -> dict[str, int]:
+    """Fits ``v``. ``rows``: style, words, meta and label. Gives how many labels each view was taught."""
+    y = np.array([r["label"] for r in rows], float)
+    aside = np.arange(len(rows)) % 4 == 3
+    x = {"text": v.text_rows([v.compact(r["style"], r["words"]) for r in rows]), "meta": meta_rows([r["meta"] for r in rows])}
+    base, held = np.flatnonzero(~aside), np.flatnonzero(aside)
+    taught: dict[str, dict[int, tuple[Seen, float]]] = {"text": {}, "meta": {}}
     for step in range(spec.rounds + 1):
-        sets = {}
-        for view, x in (("text", xt), ("meta", xm)):
-            extra = np.array(sorted(taught[view]), int)
-            at = np.concatenate([base, extra])
-            target = np.concatenate([y[base], [taught[view][k] for k in extra.tolist()]])
-            beta = logistic(x[at], target, np.concatenate([np.ones(len(base)), np.full(len(extra), 0.5)]), ridge=4.0 if view == "text" else 1.0)
-            sets[view] = beta
-        v.text, v.meta = sets["text"], sets["meta"]
+        for view in ("text", "meta"):
+            more = [t[0] for t in taught[view].values()]
+            own = v.text_rows([m[0] for m in more]) if view == "text" else meta_rows([m[1] for m in more])
+            target = np.concatenate([y[base], [t[1] for t in taught[view].values()]])
+            weight = np.concatenate([np.ones(len(base)), np.full(len(more), 0.5)])
+            setattr(v, view, logistic(np.concatenate([x[view][base], own]), target, weight, ridge=4.0))
         if step == spec.rounds:
             break
-        for view, x, pupil in (("text", xt, "meta"), ("meta", xm, "text")):
-            p = 1 / (1 + np.exp(-np.clip(margin(x[n:], sets[view]), -30, 30)))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                for k in np.argsort(-sure, kind="stable")[: spec.teach * (step + 1)]:
-                    if sure[k] >= spec.sure:
-                        taught[pupil][n + int(k)] = label
-    held = np.flatnonzero(aside)
+        most = spec.teach * (step + 1)
+        found = surest(v, most)
+        for (view, label), some in found.items():
+            own = margin(x[view][held], getattr(v, view)) * (1 if label else -1)
+            top = np.argsort(-own, kind="stable")[: max(5, len(held) // 10)]
+            if (y[held][top] == label).mean() >= spec.sure:
+                taught["meta" if view == "text" else "text"].update({k: (seen, float(label)) for k, seen in sorted(some.items())})
+    a, b = margin(x["text"][held], v.text), margin(x["meta"][held], v.meta)
     ones = np.ones(len(held))
-    a, b = margin(xt[held], v.text), margin(xm[held], v.meta)
     v.text_line = tuple(logistic(a[:, None], y[held], ones))
     v.meta_line = tuple(logistic(b[:, None], y[held], ones))
     pair = np.stack([v.text_line[0] * a + v.text_line[1], v.meta_line[0] * b + v.meta_line[1]], 1)
     v.both = tuple(logistic(pair, y[held], ones))
-    return v
+    return {view: len(t) for view, t in taught.items()}
 
 
-_INPUT = ("doc_id", "text", "lang", "source", "n_chars")
 _SAMPLE = "label int, style binary, words binary, meta binary"
+_COMPACT = "doc_id long, style binary, told binary, meta binary"
+_MARGINS = _COMPACT + ", text_margin double, meta_margin double"
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,45 +225,118 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("label"), *(pa.array(c, pa.binary()) for c in raw)], ["label", "style", "words", "meta"])
 
 
-def trained(docs: DataFrame, labels: DataFrame, spec: CoTraining = CoTraining()) -> Views:
-    """Fits both views on bounded, documented samples of labelled and other rows."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, spec: CoTraining) -> tuple[list[dict], list[int]]:
+    """Features and labels of a bounded, documented sample of labelled rows, and their ids."""
     good = (F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)
     merged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(good.cast("int").alias("label"))
-    merged = stored(merged, "labels")
-    ids = docs.where("doc_id is not null").select("doc_id")
-
-    def first(df: DataFrame, n: int) -> DataFrame:
-        """The ``n`` first by hash; rows that cannot be among them go before the sort, so that no task sends more than its share."""
-        rows = stored(df.distinct(), "ids")
-        share = min(1.0, 2 * n / max(1, rows.count()))
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-        return rows.where(place < int(share * (1 << 20)) + 1).orderBy(place, "doc_id").limit(n)
-
-    known = first(ids.join(merged, "doc_id"), spec.labelled)
-    other = first(ids.join(merged.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int")), spec.pool)
-    chosen = stored(known.union(other), "chosen")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("label", "text", "lang", "source", "n_chars").mapInArrow(_featured, _SAMPLE).collect()
-    rows = sorted(rows, key=lambda r: (r["label"] is None, bytes(r["words"]), bytes(r["style"])))
-    rng, of = np.random.default_rng(5), lambda raw, kind=np.float64: np.frombuffer(bytes(raw), kind)
-    order = rng.permutation(len(rows)).tolist()
-    return fit([{"label": rows[k]["label"], "style": of(rows[k]["style"]), "words": of(rows[k]["words"], np.uint32), "meta": of(rows[k]["meta"])} for k in order], spec)
+    known = stored(docs.where("doc_id is not null").select("doc_id").distinct().join(merged, "doc_id"), "labels")
+    # rows that cannot be among the first go before the sort, so that no task sends more than its share
+    share = min(1.0, 2 * spec.labelled / max(1, known.count()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    chosen = stored(known.where(place < int(share * (1 << 20)) + 1).orderBy(place, "doc_id").limit(spec.labelled), "chosen")
+    # of rows of one id the smallest
+    own = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    rows = own.select("label", "row.*").mapInArrow(_featured, _SAMPLE).collect()
+    rows = sorted(rows, key=lambda r: (bytes(r["words"]), bytes(r["style"]), bytes(r["meta"])))
+    of = lambda raw, kind=np.float64: np.frombuffer(bytes(raw), kind)
+    order = np.random.default_rng(5).permutation(len(rows)).tolist()
+    some = [{"label": rows[k]["label"], "style": of(rows[k]["style"]), "words": of(rows[k]["words"], np.uint32), "meta": of(rows[k]["meta"], np.uint16)} for k in order]
+    return some, [r["doc_id"] for r in chosen.select("doc_id").collect()]
+
+
+def _compacted(views):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = views.value
+        for b in batches:
+            cols: list[list[bytes]] = [[], [], []]
+            for text, *meta in zip(*(b.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))):
+                shape, told = v.compact(style(text or ""), words_of(text or ""))
+                for c, x in zip(cols, (shape, told, metadata(*meta))):
+                    c.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.binary()) for c in cols)], [x.split()[0] for x in _COMPACT.split(", ")])
+
+    return run
+
+
+def _seen(style_: bytes, told: bytes, meta: bytes) -> Seen:
+    return (np.frombuffer(style_, np.float32), np.frombuffer(told, np.uint16)), np.frombuffer(meta, np.uint16)
+
+
+def _with_margins(views, scored: bool):
+    """Margins of both views; or, at last, calibrated scores and the verdict."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, keep_from = views.value
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                rows = [_seen(*x) for x in zip(*(part.column(c).to_pylist() for c in ("style", "told", "meta")))]
+                if v.text is None:
+                    a = m = np.zeros(len(rows))
+                else:
+                    a, m = margin(v.text_rows([r[0] for r in rows]), v.text), margin(meta_rows([r[1] for r in rows]), v.meta)
+                if scored:
+                    s = v.scores(a, m)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, s), pa.array(s[2] >= keep_from)], [x.split()[0] for x in _OUT.split(", ")])
+                else:
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(a), pa.array(m)], [x.split()[0] for x in _MARGINS.split(", ")])
+
+    return run
+
+
+def surest_of(features: DataFrame, spec: CoTraining) -> Surest:
+    """The rows of ``features`` at both ends of both rankings, by two passes: histograms, then rows."""
+
+    def surest(v: Views, most: int) -> dict[tuple[str, int], dict[int, Seen]]:
+        views = features.sparkSession.sparkContext.broadcast((v, spec.keep_from))
+        rows = features.mapInArrow(_with_margins(views, False), _MARGINS)
+        step = lambda view: F.floor(F.greatest(F.lit(-WIDEST), F.least(F.lit(WIDEST), F.col(f"{view}_margin"))) * STEPS).cast("int")
+        rows = rows.withColumns({"text_step": step("text"), "meta_step": step("meta"), "key": F.xxhash64("doc_id", "style", "told", "meta")})
+        each = F.explode(F.array(*[F.struct(F.lit(x).alias("view"), F.col(f"{x}_step").alias("step")) for x in ("text", "meta")]))
+        sums = rows.select(each.alias("x")).groupBy("x.view", "x.step").count().collect()
+        wanted = {}
+        for view in ("text", "meta"):
+            for label in (1, 0):
+                sign, left, test = (1 if label else -1), most, F.lit(False)
+                for r in sorted((r for r in sums if r["view"] == view), key=lambda r: -sign * r["step"]):
+                    whole = r["count"] <= left
+                    share = F.lit(True) if whole else F.pmod("key", F.lit(1 << 30)) < int(left / r["count"] * (1 << 30))
+                    test = test | (F.col(f"{view}_step") == r["step"]) & share
+                    left -= r["count"]
+                    if left <= 0:
+                        break
+                wanted[view, label] = test
+        flags = F.array(*[F.when(t, F.lit(f"{view} {label}")) for (view, label), t in wanted.items()])
+        got = rows.select("key", "style", "told", "meta", F.array_compact(flags).alias("ends")).where(F.size("ends") > 0)
+        out: dict[tuple[str, int], dict[int, Seen]] = {k: {} for k in wanted}
+        for r in got.collect():
+            for end in r["ends"]:
+                view, label = end.split()
+                out[view, int(label)][r["key"]] = _seen(bytes(r["style"]), bytes(r["told"]), bytes(r["meta"]))
+        return out
+
+    return surest
 
 
 _OUT = "doc_id long, text_score double, meta_score double, score double, kept boolean"
 
 
+def trained(docs: DataFrame, labels: DataFrame, spec: CoTraining) -> tuple[Views, DataFrame, dict[str, int]]:
+    """Fitted views, compact features of all rows, and how many labels each view was taught."""
+    context = docs.sparkSession.sparkContext
+    rows, ids = labelled_rows(docs, labels, spec)
+    v = begun(rows, spec)
+    features = stored(docs.mapInArrow(_compacted(context.broadcast(v)), _COMPACT), "features")
+    if len(rows) < 10 or len({r["label"] for r in rows}) < 2:
+        return v, features, {"text": 0, "meta": 0}
+    fitted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))
+    return v, features, fit(rows, v, surest_of(features.join(fitted, "doc_id", "left_anti"), spec), spec)
+
+
 def classify(documents: DataFrame, labels: DataFrame, spec: CoTraining = CoTraining()) -> DataFrame:
     """One row for each document: doc_id, calibrated score of each view, combined score, verdict."""
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    views = spark.sparkContext.broadcast(trained(docs, labels, spec))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = views.value
-        for b in batches:
-            got = [v.scores(t or "", *x) for t, *x in zip(*(b.column(c).to_pylist() for c in _INPUT[1:]))]
-            cols = [np.array([g[k] for g in got], float) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, cols), pa.array(cols[2] >= spec.keep_from)], [x.split()[0] for x in _OUT.split(", ")])
-
-    return docs.mapInArrow(run, _OUT)
+    v, features, _ = trained(docs, labels, spec)
+    return features.mapInArrow(_with_margins(spark.sparkContext.broadcast((v, spec.keep_from)), True), _OUT)
