@@ -279,7 +279,8 @@ def find_sinks(g: Graphs) -> DataFrame:
     patterns = spark.createDataFrame(cat.sink_patterns(), "sink_kind string, pattern string, first_only boolean, rank int")
     firsts = g.first.select(F.col("first").alias("node"))
     formals = g.nodes.where("kind = 'parameter'").join(firsts, "node", "left_anti")
-    called = _under(formals, patterns).join(g.first.withColumnRenamed("formal", "node"), "node", "left")
+    # patterns in angle brackets are no names: what they stand for is looked up below
+    called = _under(formals, patterns.where("not startswith(pattern, '<')")).join(g.first.withColumnRenamed("formal", "node"), "node", "left")
     by_name = called.select("dist_id", F.when(F.col("first_only"), F.coalesce("first", "node")).otherwise(F.col("node")).alias("node"), "sink_kind", "pattern", "rank", "owner", "path", "line", "col")
 
     parts = g.origins("handle").select(F.col("start").alias("search"), F.col("end").alias("node")).join(g.nodes.select("node", "kind", "label"), "node")
