@@ -8,8 +8,8 @@ template; slots whose texts vary are content. Two kinds of knowledge about a pag
 this: menus, adverts, forms and the like are no content though they vary, and an article element bounds
 the content where there is one.
 
-Templates are learnt in three steps: every task aligns its own pages into one template a host; partial templates
-of a host are aligned with each other in salted groups, then at last among those. A template has a size of its own, not of the number of
+Templates are learnt in three steps: every task gives the distinct trees of its pages by host; those of a host, in the order of their
+spelling, are aligned with each other in groups by a hash of the tree, then the groups' templates with each other. So a template does not depend on how pages are partitioned. A template has a size of its own, not of the number of
 pages, so a host with a third of all pages is no larger a group than others. These templates are trees without
 texts. The second pass joins them to pages by host (by broadcast if Spark finds them small, else by a join whose skewed hosts
 are split) and aligns each page again; the pages of each slot and of each text in it are summed by host, slot and text, and texts of
@@ -365,10 +365,11 @@ def _batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
 
 
 def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, Slot] = {}
+    """The distinct trees of the pages, without texts."""
+    found: set[tuple[str, str]] = set()
 
     def dump() -> pa.RecordBatch:
-        rows = [(h, zlib.crc32(json.dumps(t.dump()).encode()) % SALT, json.dumps(t.dump())) for h, t in found.items()]
+        rows = [(h, zlib.crc32(raw.encode()) % SALT, raw) for h, raw in found]
         found.clear()
         return _batch(rows)
 
@@ -376,11 +377,7 @@ def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, text in zip(b.column("host").to_pylist(), b.column("html")):
             text = text.as_py()
             if text:
-                tree, _ = aligned_tree(parse(text))
-                if host in found:
-                    learn(found[host], tree)
-                else:
-                    found[host] = tree
+                found.add((host, json.dumps(aligned_tree(parse(text))[0].dump())))
                 if len(found) >= 2000:
                     yield dump()
     if found:
@@ -388,10 +385,13 @@ def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Templates in host order to one template for each host (and salt)."""
-    key, held = None, None
+    """Templates in the order of hosts, salts and spelling to one template for each host and salt; like ones count once."""
+    key, held, last = None, None, None
     for b in batches:
         for host, salt, raw in zip(*(c.to_pylist() for c in b.columns)):
+            if (host, salt, raw) == last:
+                continue
+            last = host, salt, raw
             t = Slot.load(json.loads(raw))
             if (host, salt) == key:
                 learn(held, t)

@@ -58,3 +58,27 @@ def test_constant_text_among_many_siblings(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
     assert len(got) == 40
     assert all(r["text"] == " ".join(f"Part {j} of page {r['page_id']}." for j in range(30)) for r in got)
+
+
+def bare(site, k):
+    """A page that names nothing: only its place on the pages of the host tells what is template."""
+    more = "".join(f"<div><div>Item {site} {k} {j} of many</div></div>" for j in range(k % 4))
+    body = f"<div>Story {site} {k} begins</div>{more}<div>and ends in year {1900 + k}</div>"
+    return f"<div><div>Welcome to {site}</div><div>All rights with {site}</div><div>{body}</div><div>Call the office of {site}</div></div>"
+
+
+def bare_text(site, k):
+    return " ".join([f"Story {site} {k} begins", *(f"Item {site} {k} {j} of many" for j in range(k % 4)), f"and ends in year {1900 + k}"])
+
+
+def test_templates_decide_where_pages_name_nothing(spark):
+    rows = [(k, f"http://{site}.example/{k}", bare(site, k)) for site in ("north", "south") for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = {r["url"]: r["text"] for r in wrapper.extract(df.repartition(1)).collect()}
+    assert all(one[u] == bare_text(u[7:12], k) for k, u, _ in rows)
+    # tags and names alone keep what all pages share
+    assert not any(wrapper.main_text(h) == one[u] for _, u, h in rows)
+    again = {r["url"]: r["text"] for r in wrapper.extract(df.orderBy(df.page_id.desc()).repartition(7)).collect()}
+    assert again == one
+    trees = [sorted(map(tuple, wrapper.shapes(d.select("url", "html")).collect())) for d in (df.repartition(1), df.repartition(6))]
+    assert trees[0] == trees[1]
