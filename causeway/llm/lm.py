@@ -44,7 +44,7 @@ FLUSH = 400_000
 END = b""
 LONG = 40
 #: Rows of parameters that travel together when shards are averaged; tokens scored, and tokens trained, at a time.
-CHUNK, SCORED, TAKEN = 2_000, 20_000, 500_000
+CHUNK, SCORED, TAKEN = 2_000, 4_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -52,10 +52,10 @@ class LogBilinear:
     heads: int = 16_384
     class_size: int = 128
     spellings: int = 61
-    size: int = 24
+    size: int = 16
     noise: int = 25
-    word_noise: int = 4
-    batch: int = 4096
+    word_noise: int = 2
+    batch: int = 16_384
     rate: float = 0.1
     seed: int = 13
     shard_tokens: int = 4_000_000
@@ -181,30 +181,42 @@ class Parameters:
 
     def logs(self, t: np.ndarray, v: Vocabulary) -> np.ndarray:
         """Natural log probability of each (word, before, before that): of its class, and of a head within its class."""
-        class_of, out = v.class_of[t[:, 0]], np.empty(len(t), np.float32)
+        own, out = v.class_of[t[:, 0]], np.empty(len(t), np.float32)
         one, two = self.q @ self.c[0], self.q @ self.c[1]
+        h = one[t[:, 1]]
+        h += two[t[:, 2]]
         for k in range(0, len(t), SCORED):
-            part, own = t[k : k + SCORED], class_of[k : k + SCORED]
-            h = one[part[:, 1]] + two[part[:, 2]]
-            s = h @ self.u.T + self.bu
-            s -= s.max(1, keepdims=True)
-            got = s[np.arange(len(part)), own] - np.log(np.exp(s).sum(1))
-            order = np.argsort(own, kind="stable")
-            order = order[part[order, 0] < v.heads]
-            for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(order) else ():
-                first = int(own[at[0]]) * v.spec.class_size
-                last = min(first + v.spec.class_size, v.heads)
-                s = h[at] @ self.w[first:last].T + self.bw[first:last]
-                s -= s.max(1, keepdims=True)
-                got[at] += s[np.arange(len(at)), part[at, 0] - first] - np.log(np.exp(s).sum(1))
-            out[k : k + SCORED] = got
+            out[k : k + SCORED] = _normalised(h[k : k + SCORED] @ self.u.T, self.bu, own[k : k + SCORED])
+        heads = np.flatnonzero(t[:, 0] < v.heads)
+        heads = heads[np.argsort(own[heads], kind="stable")]
+        for of_class in np.split(heads, np.flatnonzero(np.diff(own[heads])) + 1) if len(heads) else ():
+            first = int(own[of_class[0]]) * v.spec.class_size
+            last = min(first + v.spec.class_size, v.heads)
+            w = np.ascontiguousarray(self.w[first:last].T)
+            for k in range(0, len(of_class), SCORED):
+                at = of_class[k : k + SCORED]
+                out[at] += _normalised(h[at] @ w, self.bw[first:last], t[at, 0] - first)
         return out
 
 
+def _normalised(s: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log of the share of one column of each row, after the exponential; works in place."""
+    s += bias
+    s -= s.max(1)[:, None]
+    got = s[np.arange(len(s)), own]
+    np.exp(s, out=s)
+    return got - np.log(s.sum(1))
+
+
 def _scattered(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of rows of ``values`` by place."""
-    d = values.shape[1]
-    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), values.ravel(), size * d).reshape(size, d).astype(np.float32)
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # places are ids, of two bytes, which sort by digits
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    out = np.zeros((size, values.shape[1]), np.float32)
+    if len(at):
+        out[at[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
 
 
 class Trainer:
