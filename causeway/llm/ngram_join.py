@@ -51,7 +51,7 @@ from causeway.runtime import serve, ship, stored, unused_name
 
 #: Occurrences in merged lists that a candidate needs; documents of a list that is merged; entries of a block of a longer list;
 #: documents of a token above which its list is dealt over several tasks.
-SHARED, SHORT, BLOCK, WIDE = 3, 64, 256, 8192
+SHARED, SHORT, BLOCK, WIDE = 3, 64, 1024, 8192
 #: A token is frequent if a task finds it in HOT_LOCAL sets of a shard and all tasks together in HOT_TOTAL; at most
 #: HOT_KEPT tokens (12 bytes each) are sent to the tasks, which bounds a broadcast and changes no result.
 HOT_LOCAL, HOT_TOTAL, HOT_KEPT = 3, 64, 200_000
