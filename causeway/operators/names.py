@@ -22,20 +22,28 @@ def canonicalise(uses: DataFrame, aliases: DataFrame, file: str = "file", dotted
     return uses.withColumn("local", head).join(last, [file, "local"], "left").withColumn("canonical", F.when(F.col("target").isNull(), F.col(dotted)).otherwise(F.concat("target", rest))).drop("local", "target")
 
 
-def nearest_scope(uses: DataFrame, chain: DataFrame, definitions: DataFrame, keys: list[str], every: bool = False) -> DataFrame:
+def nearest_scope(uses: DataFrame, chain: DataFrame | None, definitions: DataFrame, keys: list[str], every: bool = False) -> DataFrame:
     """N-08, R-04, F-18: what defines a name in the nearest scope that does.
 
-    ``uses``: ``keys``, scope, name. ``chain``: scope, ancestor, depth (a scope is its own at depth 0). ``definitions``: scope, name,
-    definition. One row each with the last definition, or all of that scope if ``every``.
+    ``uses``: ``keys``, scope, name. ``chain``: scope, ancestor, depth (a scope is its own at depth 0), or None if ``uses`` has
+    a row for each ancestor and depth itself. ``definitions``: scope, name, definition. One row each with the last definition, or
+    all of that scope if ``every``. Uses meet one row for each scope and name, however many definitions it has.
     """
-    found = uses.join(chain, "scope").join(definitions.withColumnRenamed("scope", "ancestor"), ["ancestor", "name"])
+    last = definitions.groupBy("scope", "name").agg(F.max("definition").alias("definition"))
+    found = _met(uses, chain, last)
     if every:
         near = found.groupBy(*keys).agg(F.min("depth").alias("depth"))
-        return found.join(near, [*keys, "depth"]).select(*keys, "depth", "ancestor", "definition")
+        near = found.drop("definition").join(near, [*keys, "depth"])
+        return near.join(definitions.withColumnRenamed("scope", "ancestor"), ["ancestor", "name"]).select(*keys, "depth", "ancestor", "definition")
     best = found.groupBy(*keys).agg(F.min(F.struct("depth", (-F.col("definition")).alias("last"), "ancestor")).alias("b"))
     return best.select(*keys, F.col("b.depth").alias("depth"), F.col("b.ancestor").alias("ancestor"), (-F.col("b.last")).alias("definition"))
 
 
+def _met(uses: DataFrame, chain: DataFrame | None, defined: DataFrame) -> DataFrame:
+    along = uses if chain is None else uses.join(chain, "scope")
+    return along.join(defined.withColumnRenamed("scope", "ancestor"), ["ancestor", "name"])
+
+
 def first_match(candidates: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:
     """G-02, V-23: candidates of the least rank of their key, all of them."""
     best = candidates.groupBy(*keys).agg(F.min(rank).alias(rank))
