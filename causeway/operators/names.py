@@ -39,6 +39,16 @@ def nearest_scope(uses: DataFrame, chain: DataFrame | None, definitions: DataFra
     return best.select(*keys, F.col("b.depth").alias("depth"), F.col("b.ancestor").alias("ancestor"), (-F.col("b.last")).alias("definition"))
 
 
+def nearest_span(uses: DataFrame, chain: DataFrame | None, definitions: DataFrame, keys: list[str]) -> DataFrame:
+    """F-18: number, first and last of all definitions in the nearest scope, from sums of each scope and name.
+
+    Arguments as for ``nearest_scope``; result: ``keys``, depth, n, first, last.
+    """
+    spans = definitions.groupBy("scope", "name").agg(F.count(F.lit(1)).alias("n"), F.min("definition").alias("first"), F.max("definition").alias("last"))
+    of_depth = _met(uses, chain, spans).repartition(*keys).groupBy(*keys, "depth").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return of_depth.groupBy(*keys).agg(F.min(F.struct("depth", "n", "first", "last")).alias("b")).select(*keys, "b.*")
+
+
 def _met(uses: DataFrame, chain: DataFrame | None, defined: DataFrame) -> DataFrame:
     along = uses if chain is None else uses.join(chain, "scope")
     return along.join(defined.withColumnRenamed("scope", "ancestor"), ["ancestor", "name"])

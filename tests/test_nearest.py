@@ -29,7 +29,7 @@ def joined_rows(plan) -> int:
     return max([own, *map(joined_rows, below)])
 
 
-@pytest.mark.parametrize("name", ["n08_nearest_scope"])
+@pytest.mark.parametrize("name", ["n08_nearest_scope", "f18_nearest_definitions"])
 def test_scopes_of_many_definitions(spark, tables, name):
     got = registry.queries()[name](spark, tables)
     rows = got.collect()
@@ -48,3 +48,4 @@ def test_all_definitions_of_the_nearest_scope(spark):
     every = names.nearest_scope(uses, chain, defined, ["use"], every=True)
     assert sorted(map(tuple, every.collect())) == [(1, 0, "f", 10), (1, 0, "f", 11), (2, 1, "m", 13), (2, 1, "m", 14), (3, 1, "m", 12)]
     assert sorted(map(tuple, names.nearest_scope(uses, chain, defined, ["use"]).collect())) == [(1, 0, "f", 11), (2, 1, "m", 14), (3, 1, "m", 12)]
+    assert sorted(map(tuple, names.nearest_span(uses, chain, defined, ["use"]).collect())) == [(1, 0, 2, 10, 11), (2, 1, 2, 13, 14), (3, 1, 1, 12, 12)]
