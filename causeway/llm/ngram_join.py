@@ -7,9 +7,9 @@ of its short lists, the sorted ids of the list, and a heap merges them; an id th
 pair can need, if that is less) is a candidate. The long lists are never read through: whether a candidate is in
 them is found by binary search, of the one document's tokens in the other's sorted tokens, which also counts the whole intersection.
 
-Which lists count as long must be the same for all documents. Tokens that a first pass finds in many
-documents come last, all others go by their hash, so the choice costs one pass and no global sort. A poor choice
-would cost time, not results.
+Which lists count as long must be the same for all documents. Tokens that a first pass, over one text in HOT_PART, finds in
+many documents come last, the most frequent at the very end, all others go by their hash, so the choice costs part of a pass and no
+global sort. A poor choice would cost time, not results: every document is looked up and compared, whatever was drawn.
 
 Equal sets are one node. Between merging and probing, bit sketches of the sets drop pairs that
 cannot overlap enough: the number of differing bits is a lower bound of the number of differing shingles. Of what is
@@ -52,9 +52,9 @@ from causeway.runtime import serve, ship, stored, unused_name
 #: Occurrences in merged lists that a candidate needs; documents of a list that is merged; entries of a block of a longer list;
 #: documents of a token above which its list is dealt over several tasks.
 SHARED, SHORT, BLOCK, WIDE = 3, 64, 1024, 8192
-#: A token is frequent if a task finds it in HOT_LOCAL sets of a shard and all tasks together in HOT_TOTAL; at most
-#: HOT_KEPT tokens (12 bytes each) are sent to the tasks, which bounds a broadcast and changes no result.
-HOT_LOCAL, HOT_TOTAL, HOT_KEPT = 3, 64, 200_000
+#: A token is frequent if one in HOT_PART of the texts, drawn by their hash, stands for HOT_TOTAL sets with it; at most HOT_KEPT tokens
+#: (16 bytes each) are sent to the tasks. All three only choose the order of tokens, and change no result.
+HOT_PART, HOT_TOTAL, HOT_KEPT = 16, 48, 200_000
 SHARD_BYTES = 4 << 20
 #: Bits for hashed ids, sent to all tasks as at most BITS / 64 rows.
 BITS = 1 << 25
@@ -132,22 +132,27 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 def _frequent(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _shards(batches):
-            sets = {s.tobytes(): s for s in (shingles(t, size) for t in texts)}
-            tokens, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            often = counts >= HOT_LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
+        serve("ngram_join")
+        for b in batches:
+            tokens, counts = np.unique(np.concatenate([shingles(t, size) for t in b.column("text").to_pylist()] or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], ["token", "n"])
 
     return run
 
 
-def frequent_tokens(docs: DataFrame, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of many documents, sorted, and into how many lists each is to be split."""
-    sums = docs.mapInArrow(_frequent(sim.words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOTAL)
+def frequent_tokens(docs: DataFrame, sim: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of many documents, sorted, into how many lists each is to be split, and its place by frequency."""
+    drawn = docs.select("text", F.xxhash64("text").alias("hash")).where(F.pmod("hash", F.lit(HOT_PART)) == 0)
+    # copies are one set, so they count once
+    some = drawn.groupBy("hash").agg(F.first("text").alias("text")).select("text")
+    sums = some.mapInArrow(_frequent(sim.words), "token long, n long").groupBy("token").agg((F.sum("n") * HOT_PART).alias("n")).where(F.col("n") >= HOT_TOTAL)
     rows = most_frequent(stored(sums, "frequent"), "n", HOT_KEPT).collect()
     tokens, n = (np.array([r[c] for r in rows], np.int64) for c in ("token", "n"))
     order = np.argsort(tokens.view(np.uint64))
-    return tokens[order].view(np.uint64), np.minimum(-(-n[order] // WIDE), 1 << 15).astype(np.int32)
+    tokens, n = tokens[order].view(np.uint64), n[order]
+    place = np.empty(len(n), np.int32)
+    place[np.argsort(n, kind="stable")] = np.arange(len(n))
+    return tokens, np.minimum(-(-n // WIDE), 1 << 15).astype(np.int32), place
 
 
 SETS = "doc_id long, n int, sig binary, short binary, sketch binary"
@@ -155,7 +160,7 @@ SETS = "doc_id long, n int, sig binary, short binary, sketch binary"
 
 def _described(sim: Similarity, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, _ = hot.value
+        often, _, by_count = hot.value
         for ids, texts in _shards(batches):
             cols: list[list] = [[], [], [], []]
             for t in texts:
@@ -166,7 +171,7 @@ def _described(sim: Similarity, hot):
                 if len(often) and n:
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     last = often[at] == s
-                    order = np.concatenate([s[~last], s[last]])
+                    order = np.concatenate([s[~last], s[last][np.argsort(by_count[at[last]])]])
                 else:
                     order = s
                 cols[2].append(order[: n - sim.least(n) + SHARED].tobytes())
@@ -184,7 +189,7 @@ def _entries(hot):
     """A row for each entry of a merged list; entries of a token of very many documents are dealt over several lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, salts = hot.value
+        often, salts, _ = hot.value
         wide = salts > 1
         often, salts = often[wide], salts[wide]
         for b in batches:
@@ -527,10 +532,13 @@ def _long_lists(blocks: DataFrame, comps: DataFrame, sets: DataFrame, docs: Data
         open_ = stored(open_, "open")
         if open_.isEmpty():
             return comps
-        rows = _with(rows, open_, "token")
+        rows = stored(_with(rows, open_, "token"), "open_entries")
         probes = rows.where("comp <> main").withColumn("team", F.pmod(F.xxhash64("doc_id"), F.col("teams")).cast("int"))
-        # a probe goes to every block of its list, an entry of a block to every team
-        probes = _with(probes.drop("block"), rows.select("token", "block").distinct(), "token").withColumn("probe", F.lit(1))
+        # a probe goes to every block of its list that has sets of a size to link with, an entry of a block to every team
+        spans = rows.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        fit = (F.col("n") * F.lit(sim.den) >= F.col("low") * F.lit(sim.num)) & (F.col("high") * F.lit(sim.den) >= F.col("n") * F.lit(sim.num))
+        named = probes.drop("block").withColumnRenamed("token", "of")
+        probes = named.join(spans.hint("merge"), (F.col("of") == F.col("token")) & fit).withColumn("probe", F.lit(1))
         members = rows.withColumns({"team": F.explode(F.sequence(F.lit(0), F.col("teams") - 1)), "probe": F.lit(0)})
         meet = probes.select(*(cols := ("token", "block", "team", "probe", "doc_id", "n", "comp"))).union(members.select(*cols))
         sketches = _marked(sets.select("doc_id", "sketch"), rows.select("doc_id")).where("maybe").drop("maybe")

@@ -73,3 +73,14 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = {x["node"]: x["comp"] for x in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_frequent_tokens_do_not_depend_on_partitions(spark):
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(k, " ".join(f"u{k}x{j}" for j in range(40)) + " " + passage + (" every text ends so" if k % 2 else "")) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(200)  # a partition has two of them
+    tokens, _, place = ngram_join.frequent_tokens(df, Similarity())
+    order = dict(zip(tokens.tolist(), place.tolist()))
+    common, half = (ngram_join.shingles(t, 4).tolist() for t in (passage, "every text ends so"))
+    assert set(common + half) <= set(order)
+    assert max(order[t] for t in half) < min(order[t] for t in common)  # the most frequent come last
