@@ -40,6 +40,10 @@ from causeway.runtime import serve, ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each of the two generations of the table of pieces, and of the table of fitting neighbours.
 TABLE_SIZE, FITS_SIZE = 120_000, 300_000
+#: Moves of the automaton over several falls that are kept.
+MOVES_SIZE = 200_000
+#: Bytes at the start of a piece whose walk is kept, and how many such walks.
+START, STARTS_SIZE = 6, 60_000
 #: Characters cut into pieces at a time.
 STRETCH = 1 << 16
 
@@ -80,9 +84,12 @@ class Vocabulary:
             self.rank[left, right] = (k, whole)
             self.halves.setdefault(whole, (k, left, right))
         self.lookahead = max(map(len, self.id_of))
-        self.size = {k: len(t) for t, k in self.id_of.items()}
+        self.size = [0] * (max(self.bytes_of) + 1)
+        for t, k in self.id_of.items():
+            self.size[k] = len(t)
         self._fits: dict[int, bool] = {}
         self._suffixes()
+        self.moves = len(self.step) + MOVES_SIZE
 
     def _suffixes(self) -> None:
         """An automaton over bytes whose state tells the longest token that ends here; ``shorter`` leads on to the next."""
@@ -103,7 +110,7 @@ class Vocabulary:
                     depth.append(depth[at] + 1)
                 at = nxt
             own[at] = k
-        fall, longest, self.shorter = [0] * len(up), [-1] * len(up), {}
+        fall, longest, self.shorter = [0] * len(up), [-1] * len(up), [-1] * len(self.size)
         self.step, self.fall, self.longest = step, fall, longest
         for at in sorted(range(1, len(up)), key=depth.__getitem__):
             fall[at] = self.move(fall[up[at]], byte[at]) if up[at] else 0
@@ -119,6 +126,13 @@ class Vocabulary:
             at = fall[at]
         return nxt
 
+    def moved(self, at: int, c: int) -> int:
+        """As ``move``, which is kept as a step while there is room."""
+        nxt = self.move(at, c)
+        if len(self.step) < self.moves:
+            self.step[at << 8 | c] = nxt
+        return nxt
+
     def merged(self, raw: bytes) -> list[int]:
         """BPE of a short string by its definition: the leftmost pair of least rank merges first."""
         ids = [self.id_of[raw[k : k + 1]] for k in range(len(raw))]
@@ -173,6 +187,7 @@ class Transducer:
         self.buf = bytearray()
         self.last: list[int] = []  # the last token of the encoding of buf[: k + 1]
         self.edge: int | None = None  # the token emitted last, of the same piece
+        self.starts: dict[bytes, tuple[int, tuple[int, ...]]] = {}
 
     def feed(self, raw: bytes) -> list[int]:
         out: list[int] = []
@@ -212,6 +227,51 @@ class Transducer:
         self.state = state
         return out
 
+    def whole(self, raw: bytes) -> list[int]:
+        """All tokens of a piece that fits into the window, so that nothing needs to be emitted before its end."""
+        v = self.v
+        if len(raw) >= 4 * v.lookahead:
+            return self.feed(raw) + self.finish()
+        head = raw[:START]
+        held = self.starts.get(head)
+        if held is None:
+            last: list[int] = []
+            state = self._walk(head, 0, last)
+            if len(self.starts) >= STARTS_SIZE:
+                self.starts.clear()
+            self.starts[head] = state, tuple(last)
+        else:
+            state, last = held[0], [*held[1]]
+        if len(raw) > START:
+            self._walk(raw[START:], state, last)
+        size, end = v.size, len(raw)
+        out = []
+        while end:
+            out.append(t := last[end - 1])
+            end -= size[t]
+        out.reverse()
+        return out
+
+    def _walk(self, raw: bytes, state: int, last: list[int]) -> int:
+        """Appends the last token of every further prefix of a piece; returns the automaton's state."""
+        v, end = self.v, len(last)
+        step, longest, shorter, size, known, fits, moved = v.step.get, v.longest, v.shorter, v.size, v._fits.get, v.fits, v.moved
+        for c in raw:
+            nxt = step(state << 8 | c)
+            state = moved(state, c) if nxt is None else nxt
+            t = longest[state]
+            while (at := end - size[t]) >= 0:
+                before = last[at]
+                good = known(before << 32 | t)
+                if good or good is None and fits(before, t):
+                    break
+                t = shorter[t]
+            if t < 0:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(t)
+            end += 1
+        return state
+
     def _chain(self, at: int) -> list[int]:
         """Ends of the tokens that the encoding of buf[:at] consists of."""
         ends = []
@@ -262,7 +322,7 @@ class Encoder:
                 return self._held(s, got)
             raw, t = s.encode("utf-8", "replace"), self.transducer
             whole = self.v.id_of.get(raw)
-            ids = [whole] if whole is not None and whole in self.v.proper else t.feed(raw) + t.finish()
+            ids = [whole] if whole is not None and whole in self.v.proper else t.whole(raw)
             got = b"".join(map(self.packed.__getitem__, ids))
             if len(s) <= 64:
                 self._held(s, got)

@@ -88,3 +88,23 @@ def test_pieces_of_stretches(monkeypatch):
         monkeypatch.setattr(bpe, "STRETCH", size)
         for t in texts:
             assert [p for some in enc.pieces(t) for p in some] == enc.find(t)
+
+
+def test_long_and_short_pieces_walk_alike(library, monkeypatch):
+    monkeypatch.setattr(bpe, "STARTS_SIZE", 7)
+    monkeypatch.setattr(bpe, "MOVES_SIZE", 5)
+    v, r = bpe.Vocabulary(PATH), random.Random(9)
+    fast, slow = bpe.Transducer(v), bpe.Transducer(v)
+    for n in [*range(1, 40), 4 * v.lookahead - 1, 4 * v.lookahead, 4 * v.lookahead + 1] * 6:
+        raw = "".join(r.choice(["th", "e", "tion", "an", "é", "x", "中"]) for _ in range(n)).encode()[:n]
+        assert fast.whole(raw) == slow.feed(raw) + slow.finish()
+    assert len(fast.starts) <= 7 and len(v.step) <= v.moves
+
+
+def test_walks_are_taken_from_known_starts():
+    t, seen = bpe.Transducer(bpe.vocabulary(PATH)), []
+    walk = t._walk
+    t._walk = lambda raw, state, last: (seen.append(len(raw)), walk(raw, state, last))[1]
+    for end in (b"anly", b"reor", b"inth"):
+        t.whole(b" reoning"[: bpe.START] + end)
+    assert seen == [bpe.START, 4, 4, 4]
