@@ -45,6 +45,8 @@ END = b""
 LONG = 40
 #: Rows of parameters that travel together when shards are averaged; tokens scored, and tokens trained, at a time.
 CHUNK, SCORED, TAKEN = 2_000, 4_000, 500_000
+#: Numbers up to this size, either way, have exponentials that single precision can hold and add up.
+PLAIN = 80.0
 
 
 @dataclass(frozen=True)
@@ -166,6 +168,7 @@ class Parameters:
         cuts = np.cumsum([v.end + 1, 2 * d, len(v.class_counts), v.heads])
         self.q, c, u, w = rows[: cuts[0], :d], rows[cuts[0] : cuts[1], :d], rows[cuts[1] : cuts[2]], rows[cuts[2] : cuts[3]]
         self.c = c.reshape(2, d, d)
+        self.classes, self.words = u, w  # with biases, which a further 1 in the predicted vector adds
         self.u, self.bu, self.w, self.bw = u[:, :d], u[:, d], w[:, :d], w[:, d]
 
     @classmethod
@@ -183,29 +186,33 @@ class Parameters:
         """Natural log probability of each (word, before, before that): of its class, and of a head within its class."""
         own, out = v.class_of[t[:, 0]], np.empty(len(t), np.float32)
         one, two = self.q @ self.c[0], self.q @ self.c[1]
-        h = one[t[:, 1]]
-        h += two[t[:, 2]]
+        h = np.ones((len(t), v.spec.size + 1), np.float32)
+        h[:, :-1] = one[t[:, 1]]
+        h[:, :-1] += two[t[:, 2]]
+        # no product exceeds that of the lengths
+        longest = [float(np.sqrt(np.einsum("nd,nd->n", x, x).max(initial=0))) for x in (h, self.classes, self.words)]
+        plain, plain_words = (longest[0] * x < PLAIN for x in longest[1:])
         for k in range(0, len(t), SCORED):
-            out[k : k + SCORED] = _normalised(h[k : k + SCORED] @ self.u.T, self.bu, own[k : k + SCORED])
+            out[k : k + SCORED] = _normalised(h[k : k + SCORED] @ self.classes.T, own[k : k + SCORED], plain)
         heads = np.flatnonzero(t[:, 0] < v.heads)
         heads = heads[np.argsort(own[heads], kind="stable")]
         for of_class in np.split(heads, np.flatnonzero(np.diff(own[heads])) + 1) if len(heads) else ():
             first = int(own[of_class[0]]) * v.spec.class_size
             last = min(first + v.spec.class_size, v.heads)
-            w = np.ascontiguousarray(self.w[first:last].T)
+            w = np.ascontiguousarray(self.words[first:last].T)
             for k in range(0, len(of_class), SCORED):
                 at = of_class[k : k + SCORED]
-                out[at] += _normalised(h[at] @ w, self.bw[first:last], t[at, 0] - first)
+                out[at] += _normalised(h[at] @ w, t[at, 0] - first, plain_words)
         return out
 
 
-def _normalised(s: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log of the share of one column of each row, after the exponential; works in place."""
-    s += bias
-    s -= s.max(1)[:, None]
+def _normalised(s: np.ndarray, own: np.ndarray, plain: bool) -> np.ndarray:
+    """Log of the share of one column of each row, after the exponential; works in place. ``plain``: exponentials are in range as they are."""
+    if not plain:
+        s -= s.max(1)[:, None]
     got = s[np.arange(len(s)), own]
     np.exp(s, out=s)
-    return got - np.log(s.sum(1))
+    return got - np.log(s @ np.ones(s.shape[1], s.dtype))
 
 
 def _scattered(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -400,19 +407,18 @@ def fitted(docs: DataFrame, v: Vocabulary, tokens: int) -> Parameters:
     return Parameters(out.astype(np.float32), v)
 
 
-PARTS = "digest binary, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, model_log double, word binary, times long"
+PARTS = "digest binary, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, model_log double, words array<binary>, times array<long>"
 
 
 def _scored(model):
-    """For each document a row of what is known in the task, and a row for each further word of it."""
+    """For each document a row of what is known in the task, and its further words, each with how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, rows, end_log, trained = model.value
         p = Parameters(rows, v)
         log = np.log10(v.counts + 1)
-        kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+        kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
         names, types = zip(*((n, kinds[k]) for n, k in (x.split() for x in PARTS.split(", "))))
-        lone = (None,) * 6
 
         def part(docs: list[tuple[int | None, str | None]]) -> pa.RecordBatch:
             out, split = [], [words(text) for _, text in docs]
@@ -430,8 +436,8 @@ def _scored(model):
             for (doc_id, text), w, n, e, total in zip(docs, split, sizes.tolist(), ends.tolist(), totals.tolist()):
                 own, r = slice(e - n, e), rank[e - n : e]
                 digest = digest_of(doc_id, text)
-                out.append((digest, doc_id, held_out(doc_id, v.spec), n + 1, int((r >= 0).sum()) + (end_log is not None), float(found[own].sum()) + (end_log or 0.0), total + float(share[own].sum()), None, None))
-                out += [(digest, *lone, x, k) for x, k in Counter(key_of(w[k]) for k in np.flatnonzero(r < 0).tolist()).items()]
+                more = Counter(key_of(w[k]) for k in np.flatnonzero(r < 0).tolist())
+                out.append((digest, doc_id, held_out(doc_id, v.spec), n + 1, int((r >= 0).sum()) + (end_log is not None), float(found[own].sum()) + (end_log or 0.0), total + float(share[own].sum()), list(more), list(more.values())))
             return _batch_of(out, types, names)
 
         for b in batches:
@@ -469,11 +475,11 @@ def scores(documents: DataFrame, spec: LogBilinear = LogBilinear()) -> DataFrame
 
     model = spark.sparkContext.broadcast((v, p.rows, float(np.log10(ends + 1)) if ends else None, bool(total)))
     parts = stored(docs.mapInArrow(_scored(model), PARTS), "parts")
-    own = parts.where("word is null")
-    rare = parts.where("word is not null").select("digest", "word", "times").join(table, "word")
+    own = parts.drop("words", "times")
+    rare = parts.select("digest", F.inline(F.arrays_zip("words", "times"))).withColumnRenamed("words", "word").join(table, "word")
     rare = rare.groupBy("digest").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log"))
     copies = own.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    out = own.drop("word", "times").join(rare, "digest", "left").join(copies, "digest", "left")
+    out = own.join(rare, "digest", "left").join(copies, "digest", "left")
     share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.coalesce("copies", F.lit(1))
     base = F.col("known_log") + share("log") - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))
     return out.select(

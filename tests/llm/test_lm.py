@@ -89,3 +89,25 @@ def test_repeats_nulls_and_empty(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = lm.scores(spark.createDataFrame([(only, "a")], "doc_id long, text string")).first()
     assert (r["train_tokens"], r["base_score"], r["score"], r["n_known"]) == (0, 0.0, 0.0, 0)
+
+
+def test_scores_of_large_products_and_few_rows():
+    from types import SimpleNamespace
+    import pyarrow as pa
+
+    spec = lm.LogBilinear(heads=4, class_size=2, spellings=3, size=2)
+    known = [(b"a", 9), (b"b", 7), (b"c", 5), (b"d", 3)]
+    v = lm.Vocabulary.of(known, {k: (40, 9) for k in range(3)}, 2, spec)
+    t = np.array([[k, 1, 2] for k in range(v.end + 1)])
+    for scale in (1, 60):  # the second has products beyond the exponentials of single precision
+        p = lm.Parameters.start(v)
+        p.rows[:] = np.random.default_rng(1).normal(0, 1, p.rows.shape) * scale
+        h = (p.q[1] @ p.c[0] + p.q[2] @ p.c[1]).astype(float)
+        soft = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+        of_class = soft(p.u @ h + p.bu)
+        within = np.concatenate([soft(p.w[k : k + 2] @ h + p.bw[k : k + 2]) for k in (0, 2)])
+        want = of_class[v.class_of[t[:, 0]]] + np.where(t[:, 0] < 4, within[np.minimum(t[:, 0], 3)], 0)
+        assert np.allclose(p.logs(t, v), want, rtol=1e-4, atol=1e-4)
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b odd odd even", None])], ["doc_id", "text"])
+    rows = [r for b in lm._scored(SimpleNamespace(value=(v, lm.Parameters.start(v).rows, 0.3, True)))(iter([docs])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["n_tokens"], r["words"], r["times"]) for r in rows] == [(1, 6, [b"odd", b"even"], [2, 1]), (2, 1, [], [])]
