@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -156,7 +156,9 @@ class Vocabulary:
         rank = np.fromiter(map(self.ids.get, words_, repeat(-1)), np.int64, len(words_))
         ids = np.where(rank < self.heads, rank, self.heads + (self.spellings[rank] if len(self.spellings) else 0))
         unknown = np.flatnonzero(rank < 0)
-        ids[unknown] = [self.heads + spelling(key_of(words_[k]), self.spec) for k in unknown.tolist()]
+        # of a word that is its own key, ``spelling`` said in place
+        first, classes = self.heads, self.spec.spellings
+        ids[unknown] = [first + (int.from_bytes(w[-2:], "big") % classes if len(w) <= LONG else spelling(key_of(w), self.spec)) for w in map(words_.__getitem__, unknown.tolist())]
         return rank, ids
 
 
@@ -186,44 +188,47 @@ class Parameters:
         """Natural log probability of each (word, before, before that): of its class, and of a head within its class."""
         own, out = v.class_of[t[:, 0]], np.empty(len(t), np.float32)
         one, two = self.q @ self.c[0], self.q @ self.c[1]
-        h = np.ones((len(t), v.spec.size + 1), np.float32)
-        h[:, :-1] = one[t[:, 1]]
-        h[:, :-1] += two[t[:, 2]]
+        # the predicted vector, and the total over classes, are those of the two words before: once for each such pair
+        pairs, of = np.unique(t[:, 1] * (v.end + 1) + t[:, 2], return_inverse=True)
+        before, that = np.divmod(pairs, v.end + 1)
+        h = np.ones((len(pairs), v.spec.size + 1), np.float32)
+        h[:, :-1] = one[before]
+        h[:, :-1] += two[that]
         # no product exceeds that of the lengths
         longest = [float(np.sqrt(np.einsum("nd,nd->n", x, x).max(initial=0))) for x in (h, self.classes, self.words)]
         plain, plain_words = (longest[0] * x < PLAIN for x in longest[1:])
+        totals = np.empty(len(pairs), np.float32)
+        for k in range(0, len(pairs), SCORED):
+            totals[k : k + SCORED] = _log_totals(h[k : k + SCORED] @ self.classes.T, plain)
         for k in range(0, len(t), SCORED):
-            out[k : k + SCORED] = _normalised(h[k : k + SCORED] @ self.classes.T, own[k : k + SCORED], plain)
+            at = of[k : k + SCORED]
+            out[k : k + SCORED] = np.einsum("nd,nd->n", h[at], self.classes[own[k : k + SCORED]]) - totals[at]
         heads = np.flatnonzero(t[:, 0] < v.heads)
-        heads = heads[np.argsort(own[heads], kind="stable")]
+        heads = heads[np.argsort(own[heads].astype(np.uint16), kind="stable")]
         for of_class in np.split(heads, np.flatnonzero(np.diff(own[heads])) + 1) if len(heads) else ():
             first = int(own[of_class[0]]) * v.spec.class_size
             last = min(first + v.spec.class_size, v.heads)
             w = np.ascontiguousarray(self.words[first:last].T)
             for k in range(0, len(of_class), SCORED):
                 at = of_class[k : k + SCORED]
-                out[at] += _normalised(h[at] @ w, t[at, 0] - first, plain_words)
+                s = h[of[at]] @ w
+                got = s[np.arange(len(s)), t[at, 0] - first]
+                out[at] += got - _log_totals(s, plain_words)
         return out
 
 
-def _normalised(s: np.ndarray, own: np.ndarray, plain: bool) -> np.ndarray:
-    """Log of the share of one column of each row, after the exponential; works in place. ``plain``: exponentials are in range as they are."""
+def _log_totals(s: np.ndarray, plain: bool) -> np.ndarray:
+    """Log of the sum of exponentials of each row; works in place. ``plain``: exponentials are in range as they are."""
+    top = 0 if plain else s.max(1)
     if not plain:
-        s -= s.max(1)[:, None]
-    got = s[np.arange(len(s)), own]
+        s -= top[:, None]
     np.exp(s, out=s)
-    return got - np.log(s @ np.ones(s.shape[1], s.dtype))
+    return np.log(s @ np.ones(s.shape[1], s.dtype)) + top
 
 
-def _scattered(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of rows of ``values`` by place."""
-    order = np.argsort(at.astype(np.uint16), kind="stable")  # places are ids, of two bytes, which sort by digits
-    at = at[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-    out = np.zeros((size, values.shape[1]), np.float32)
-    if len(at):
-        out[at[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
+def _scattered(at: np.ndarray, columns: Iterable[np.ndarray], size: int) -> np.ndarray:
+    """Sums by place of rows that are given as columns, in double precision."""
+    return np.stack([np.bincount(at, c, size) for c in columns], 1).astype(np.float32)
 
 
 class Trainer:
@@ -248,16 +253,20 @@ class Trainer:
         return np.concatenate([self.before, np.full(2 * self.v.spec.size, self.seen.sum()), by_class, self.seen[: self.v.heads]])
 
     def _step(self, value: np.ndarray, grad: np.ndarray, square: np.ndarray) -> None:
-        square += grad * grad
-        value += self.v.spec.rate * grad / np.sqrt(square + 1e-8)
+        by = grad * grad
+        square += by
+        np.sqrt(np.add(square, 1e-8, out=by), out=by)
+        value += np.divide(self.v.spec.rate * grad, by, out=by)
 
     def take(self, texts: list[np.ndarray]) -> None:
         t = _contexts(texts, self.v.end)
         self.seen += np.bincount(t[:, 0], minlength=len(self.seen))
         self.before += np.bincount(t[:, 1], minlength=len(self.seen))
-        t = t[self.random.permutation(len(t))]
+        # ids have two bytes, so three of them travel as one number
+        t = (t[:, 0] | t[:, 1] << 16 | t[:, 2] << 32)[self.random.permutation(len(t))]
         for k in range(0, len(t), self.v.spec.batch):
-            self._batch(*t[k : k + self.v.spec.batch].T)
+            part = t[k : k + self.v.spec.batch]
+            self._batch(part & 0xFFFF, part >> 16 & 0xFFFF, part >> 32)
 
     def _batch(self, x: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> None:
         v, p, s, spec = self.v, self.p, self.s, self.v.spec
@@ -271,7 +280,8 @@ class Trainer:
         bad = -sigmoid(h @ p.u[noise].T + p.bu[noise] - self.class_noise[noise])
         dh = good[:, None] * p.u[own] + bad @ p.u[noise]
         size = len(v.class_counts)
-        gu = _scattered(own, good[:, None] * h, size) + _scattered(noise, bad.T @ h, size)
+        ht = np.ascontiguousarray(h.T)
+        gu = _scattered(own, good * ht, size) + _scattered(noise, ht @ bad, size)
         gb = np.bincount(own, good, size) + np.bincount(noise, bad.sum(0), size)
         at = np.flatnonzero(x < v.heads)
         if len(at):
@@ -281,17 +291,19 @@ class Trainer:
             draw = low[:, None] + self.random.random((len(at), spec.word_noise)) * (high - low)[:, None]
             others = np.minimum(np.searchsorted(self.edges, draw, "right") - 1, v.heads - 1)
             every = np.concatenate([w[:, None], others], 1)
-            vectors = p.w[every]
-            z = np.einsum("nkd,nd->nk", vectors, hw) + p.bw[every] - self.word_noise[every]
+            vectors = np.take(p.words, every, axis=0)
+            vectors, biases = vectors[:, :, :-1], vectors[:, :, -1]
+            z = np.einsum("nkd,nd->nk", vectors, hw) + biases - self.word_noise[every]
             g = -sigmoid(z)
             g[:, 0] += 1
             dh[at] += np.einsum("nk,nkd->nd", g, vectors)
-            gw = _scattered(every.ravel(), (g[:, :, None] * hw[:, None]).reshape(-1, spec.size), v.heads)
-            gbw = np.bincount(every.ravel(), g.ravel(), v.heads)
+            places = every.ravel()
+            gw = _scattered(places, ((g * c[:, None]).ravel() for c in ht[:, at]), v.heads)
+            gbw = np.bincount(places, g.ravel(), v.heads)
             self._step(p.w, gw / n, s.w)
             self._step(p.bw, (gbw / n).astype(np.float32), s.bw)
         dh /= n
-        gq = _scattered(np.concatenate([x1, x2]), np.concatenate([dh @ p.c[0].T, dh @ p.c[1].T]), len(p.q))
+        gq = _scattered(np.concatenate([x1, x2]), np.concatenate([p.c[0] @ dh.T, p.c[1] @ dh.T], 1), len(p.q))
         self._step(p.c, np.stack([q1.T @ dh, q2.T @ dh]), s.c)
         self._step(p.q, gq, s.q)
         self._step(p.u, gu / n, s.u)

@@ -111,3 +111,30 @@ def test_scores_of_large_products_and_few_rows():
     docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b odd odd even", None])], ["doc_id", "text"])
     rows = [r for b in lm._scored(SimpleNamespace(value=(v, lm.Parameters.start(v).rows, 0.3, True)))(iter([docs])) for r in b.to_pylist()]
     assert [(r["doc_id"], r["n_tokens"], r["words"], r["times"]) for r in rows] == [(1, 6, [b"odd", b"even"], [2, 1]), (2, 1, [], [])]
+
+
+def test_totals_over_classes_once_for_each_pair_of_words_before(monkeypatch):
+    spec = lm.LogBilinear(heads=6, class_size=3, spellings=2, size=4)
+    v = lm.Vocabulary.of([(f"k{k}".encode(), 20 - k) for k in range(6)], {k: (200, 9) for k in range(2)}, 5, spec)
+    p = lm.Parameters.start(v)
+    p.rows[:] += np.random.default_rng(1).normal(0, 0.5, p.rows.shape)
+    t = np.random.default_rng(2).integers(0, v.end + 1, (3000, 3))
+    widths, totals = Counter(), lm._log_totals
+
+    def counted(s, plain):
+        widths[s.shape[1]] += len(s)
+        return totals(s, plain)
+
+    alone = np.array([p.logs(x[None], v)[0] for x in t[:200]])
+    monkeypatch.setattr(lm, "_log_totals", counted)
+    assert np.allclose(p.logs(t, v)[:200], alone, rtol=1e-5, atol=1e-5)
+    assert widths[len(v.class_counts)] == len(np.unique(t[:, 1:], axis=0)) <= (v.end + 1) ** 2
+
+
+def test_sums_by_place():
+    r = np.random.default_rng(3)
+    at, values = r.integers(0, 9, 500), r.normal(0, 1, (500, 4)).astype(np.float32)
+    want = np.zeros((12, 4))
+    np.add.at(want, at, values)
+    assert np.allclose(lm._scattered(at, values.T, 12), want, atol=1e-6)
+    assert not lm._scattered(at[:0], values[:0].T, 12).any()
